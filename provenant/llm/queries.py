@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .exact import OP5_SQL, op5_exact_dedup
 from .media import op4_media
+from .packing import op10_packing
 
 QUERIES = {
     "op4_media": op4_media,
+    "op5_exact_dedup": op5_exact_dedup,
     "op9_bpe": op9_bpe,
+    "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": OP5_SQL,
+}
