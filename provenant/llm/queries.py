@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .exact import OP5_SQL, op5_exact_dedup
+from .langid import op1_langid
 from .media import op4_media
 from .packing import op10_packing
+from .quality import op7_quality
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op4_media": op4_media,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_quality": op7_quality,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
