@@ -8,12 +8,14 @@ from .langid import op1_langid
 from .media import op4_media
 from .packing import op10_packing
 from .quality import op7_quality
+from .simhash import op8_simhash
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op4_media": op4_media,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_quality": op7_quality,
+    "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
