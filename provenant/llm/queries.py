@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .exact import OP5_SQL, op5_exact_dedup
+from .html import op3_html
 from .langid import op1_langid
 from .media import op4_media
 from .packing import op10_packing
@@ -12,6 +13,7 @@ from .simhash import op8_simhash
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op3_html": op3_html,
     "op4_media": op4_media,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_quality": op7_quality,
