@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,32 @@ def map_rows(
 def record(**columns) -> pa.RecordBatch:
     """A record batch of named Arrow arrays."""
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+#: Rows of a few numbers up to which a table is sent to every executor; it is counted first.
+SENT_ROWS = 2_000_000
+
+
+def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """`df`, a written table of narrow rows, with a broadcast hint if its count allows; else Spark shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of complete groups from batches sorted by the number column `key`; holds back only the last group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(key).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(column, column[-1], "left"))
+        if held and held[-1].column(key)[-1].as_py() != column[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -10,9 +10,11 @@ from .media import op4_media
 from .packing import op10_packing
 from .quality import op7_quality
 from .simhash import op8_simhash
+from .suffixes import op2_suffix_dedup
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_html": op3_html,
     "op4_media": op4_media,
     "op5_exact_dedup": op5_exact_dedup,
