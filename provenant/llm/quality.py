@@ -3,8 +3,10 @@
 A text's strength is linear in features of its whole text.  The chance that a text of
 label 1 beats one of label 0 is the logistic function of the difference of their
 strengths, so the weights are a logistic regression on feature differences of preference
-pairs.  The threshold is the quantile of the training strengths at the share of label 0;
-a score is the logistic function of the strength above it, so 0.5 is the threshold.
+pairs.  The threshold comes from quantiles of the training strengths: if nearly all texts of
+label 0 (99 %) are below nearly all of label 1, the middle of that gap, else the quantile
+at the share of label 0.  A score is the logistic function of the strength above it, so 0.5
+is the threshold.
 
 The model is fitted on at most `max_labels` labelled rows, those of the smallest hash of
 their id, and at most `max_pairs` pairs.  All rows are scored.
@@ -32,7 +34,7 @@ MAX_LABELS = 20_000
 MAX_PAIRS = 200_000
 
 _CLASSES = [
-    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b"!", b"?", b".", b",;:",
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"!", b"?", b".", b",;:",
     b"#$%&*", b"|", b"<>{}[]()", b"/\\@=_+~^`", b"'\"-", bytes(range(128, 256)),
 ]
 _CLASS_OF = np.zeros((256, len(_CLASSES)))
@@ -46,9 +48,10 @@ def features(text: str) -> np.ndarray:
     """Shares of character classes, word and line repetition, lengths; of the whole text."""
     data = text.encode()
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _CLASS_OF
-    shares = np.sqrt(counts / max(1, len(data)))
     words = text.split()
-    n = len(words)
+    n, letters = len(words), sum(map(len, words))
+    ink = counts.sum()  # white space, however much, says nothing
+    shares = np.sqrt(counts / max(1, ink))
     fresh = sum(len(set(words[i : i + _STRETCH])) for i in range(0, n, _STRETCH))
     pairs = set(zip(words, words[1:], strict=False))
     lines = text.split("\n")
@@ -61,9 +64,9 @@ def features(text: str) -> np.ndarray:
         sum(map(eq, words, words[1:])) / max(1, n),
         sum(map(len, set(lines))) / max(1, sum(map(len, lines))),
         np.log1p(n / len(lines)),
-        len(text) / max(1, n),
+        letters / max(1, n),
         marked / max(1, n),
-        len(data) / max(1, len(text)),
+        ink / max(1, letters),
     ])
 
 
@@ -111,7 +114,9 @@ def fit(x: np.ndarray, label: np.ndarray, max_pairs: int = MAX_PAIRS, ridge: flo
         if np.abs(step).max() < 1e-6:
             break
     model.weights = w
-    model.threshold = float(np.quantile(z @ w, len(poor) / (len(good) + len(poor))))
+    strength = z @ w
+    low, high = np.quantile(strength[poor], 0.99), np.quantile(strength[good], 0.01)
+    model.threshold = float((low + high) / 2 if low < high else np.quantile(strength, len(poor) / (len(good) + len(poor))))
     return model
 
 
