@@ -97,3 +97,33 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """Adds _doc (the id; a null one is last) and _row (equal for rows of equal id and text)."""
+    return docs.withColumns({
+        "_doc": F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "_row": F.xxhash64("doc_id", "text"),
+    })
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of `docs` with the smallest doc_id of their group, one row of each group.
+
+    `groups` has (_row, group).  Only keys are compared; texts move only if the list of
+    what goes is too long to be sent to every executor.
+    """
+    keyed = row_keys(docs)
+    keys = written(keyed.select("_row", "_doc"), "row-keys")
+    member = written(groups.select("_row", "group").distinct(), "row-groups")
+    many = member.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    held = member.join(many, "group").join(keys.distinct(), "_row")
+    first = held.groupBy("group").agg(F.min(F.struct("_doc", "_row")).alias("first"))
+    gone = held.join(first, "group").where(F.col("_row") != F.col("first._row")).select("_row").distinct()
+    gone = written(gone, "row-gone")
+    again = written(keys.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row"), "row-again")
+    left = keyed.join(sent_if_small(gone), "_row", "left_anti")
+    if not again.isEmpty():
+        again = sent_if_small(again)
+        once = left.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+        left = left.join(again, "_row", "left_anti").unionByName(once)
+    return left.select(*docs.columns)
