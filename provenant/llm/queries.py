@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op9_bpe
 from .exact import OP5_SQL, op5_exact_dedup
 from .html import op3_html
+from .katz import op6_katz
 from .langid import op1_langid
 from .media import op4_media
 from .packing import op10_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_html": op3_html,
     "op4_media": op4_media,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_katz": op6_katz,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
