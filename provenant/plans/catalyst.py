@@ -49,6 +49,18 @@ class Bridge:
             catalyst.Alias(expression, attribute.name(), attribute.exprId(), self.seq([]), nothing, self.seq([]))
         )
 
+    def under_ids(self, frame: DataFrame, own: list, wanted: list) -> DataFrame:
+        """`frame` whose attributes `own` get the names and ids of `wanted`; its other columns stay."""
+        catalyst = self.jvm.org.apache.spark.sql.catalyst
+        nothing = self.jvm.scala.Option.empty()
+        ids = {key(a) for a in own}
+        out = [
+            a if key(a) == key(w) else catalyst.expressions.Alias(a, w.name(), w.exprId(), self.seq([]), nothing, self.seq([]))
+            for a, w in zip(own, wanted, strict=True)
+        ]
+        out += [a for a in items(analyzed(frame).output()) if key(a) not in ids]
+        return self.frame(catalyst.plans.logical.Project(self.seq(out), analyzed(frame)))
+
 
 def key(attribute) -> int:
     return attribute.exprId().id()

@@ -279,9 +279,10 @@ class Walker:
         frame = frames[0]
         for f in frames[1:]:
             frame = frame.union(f)
+        frame = self.b.under_ids(frame, items(analyzed(frame).output())[: len(output)], output)
         ids = {a.name(): a for a in items(analyzed(frame).output())[len(output) :]}
         tags = {k: self.mapped(t, lambda n: self.b.column(ids[n])) for k, t in named.items() if t is not None}
-        return self._named(frame, [self.b.as_attribute(x, a) for x, a in zip(items(analyzed(frame).output()), output, strict=False)], tags, output)
+        return Node(frame, output, tags)
 
     def _distinct(self, plan) -> Node:
         child = self.walk(plan.child())
@@ -299,7 +300,6 @@ class Walker:
         if len(keys) == len(child.output):
             return self._distinct(plan)
         ids = {key(k) for k in keys}
-        catalyst = self.b.jvm.org.apache.spark.sql.catalyst.expressions
         columns = []
         for a in child.output:
             if key(a) in ids:
@@ -307,7 +307,6 @@ class Walker:
             else:  # whichever row stays, as without tracking
                 first = analyzed(child.frame.agg(F.first(self.b.column(a)))).aggregateExpressions().head().child()
                 columns.append(self.b.as_attribute(first, a))
-        assert catalyst
         tags = {key(a): self.mapped(child.tags.get(key(a)), self.lattice.over_rows) for a in child.output}
         return self._grouped(child, keys, columns, tags, child.output)
 
@@ -399,9 +398,8 @@ class Walker:
     def _cterelationref(self, plan) -> Node:
         inner = self.walk(self.ctes[plan.cteId()])
         output = items(plan.output())
-        columns = [self.b.as_attribute(a, o) for a, o in zip(inner.output, output, strict=True)]
         tags = {key(o): inner.tags.get(key(a)) for a, o in zip(inner.output, output, strict=True)}
-        return self._named(inner.frame, columns, tags, output)
+        return Node(self.b.under_ids(inner.frame, inner.output, output), output, tags)
 
     # -- fallback -------------------------------------------------------------
 
