@@ -278,10 +278,10 @@ def collect_set_list(t):
     return flat(df)
 
 
-@query("SELECT c_custkey, false AS c_custkey__tag, c_acctbal AS balance, false AS balance__tag, c_name AS name, true AS name__tag, c_name || c_acctbal::INT AS both_, true AS both___tag FROM customer")
+@query("SELECT c_custkey, false AS c_custkey__tag, c_acctbal AS balance, false AS balance__tag, c_name AS name, true AS name__tag, c_name || CAST(floor(c_acctbal) AS BIGINT) AS both_, true AS both___tag FROM customer")
 def struct_field_sensitivity(t):
     df = t.customer.select("c_custkey", F.struct(c("c_name").alias("name"), F.struct(c("c_acctbal").alias("balance")).alias("money")).alias("s"))
-    df = df.select("c_custkey", c("s.money.balance").alias("balance"), c("s.name").alias("name"), F.concat("s.name", F.round("s.money.balance").cast("int").cast("string")).alias("both_"))
+    df = df.select("c_custkey", c("s.money.balance").alias("balance"), c("s.name").alias("name"), F.concat("s.name", F.floor("s.money.balance").cast("string")).alias("both_"))
     return flat(df)
 
 
