@@ -56,6 +56,8 @@ _OUTER_WORDS = frozenset(
     "disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login search toolbar pagination pager".split()
 )
 _MAIN = frozenset(("article", "main"))
+#: The few of them that count on <article> and <main>; on <html> and <body>, which speak of the whole page, none does.
+_OUTER_ARTICLE = _OUTER_WORDS & frozenset("ad advert advertisement promo sponsored comment comments reply replies related".split())
 _SALTS = 16
 #: Bytes of all wrappers' rules up to which every executor gets them.
 SENT_TO_ALL = 16 << 20
@@ -68,7 +70,8 @@ SENT_TO_ALL = 16 << 20
 def _symbol(tag: str, attr: str) -> tuple[str, bool]:
     """An opening tag with its names' words, and whether these mark boilerplate."""
     words = [w.lower() for m in _NAMES.finditer(attr) for w in _WORDS.findall(m[1] or m[2] or m[3] or "")]
-    outer = tag in _OUTER or any(w in _OUTER_WORDS for w in words)
+    telling = () if tag in ("html", "body") else _OUTER_ARTICLE if tag in _MAIN else _OUTER_WORDS
+    outer = tag in _OUTER or any(w in telling for w in words)
     kind = "!" if outer else "*" if tag in _MAIN or "main" in words and tag in _CONTAINER else ""
     return ".".join([kind + tag, *sorted(set(words))[:3]]), outer
 

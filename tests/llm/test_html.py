@@ -6,7 +6,7 @@ from provenant.llm.html import align, content_paths, expression, extract, fold,
 
 
 def page(body, title="t"):
-    return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{body}</body></html>"
+    return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body class='has-sidebar'>{body}</body></html>"
 
 
 def test_fold_repeats():
@@ -18,14 +18,14 @@ def test_fold_repeats():
 def test_alignment_gives_optional_and_repeated_groups():
     pages = [page("<h1>a</h1><p>x</p>"), page("<h1>b</h1><p>x</p><p>y</p><p>z</p>"), page("<h1>c</h1><hr><p>x</p><p>q</p>")]
     wrapper = infer([skeleton(p)[0] for p in pages])
-    assert expression(wrapper) == "html !head /head body h1 # /h1 [hr] (p # /p)+ /body /html"
+    assert expression(wrapper) == "html !head /head body.has.sidebar h1 # /h1 [hr] (p # /p)+ /body /html"
     assert align(wrapper, wrapper) == wrapper
 
 
 def test_content_without_article_is_the_container_with_most_text():
     body = '<div class="top"><a href="/">home</a></div><div id="post"><p>long text here</p><ul><li>and more</li></ul></div><div class="sidebar">ads ads ads ads ads ads ads</div>'
     _, chars = skeleton(page(body))
-    assert content_paths(chars) == ["/html/body/div.post", "/html/body/div.post/ul"]
+    assert content_paths(chars) == ["/html/body.has.sidebar/div.post", "/html/body.has.sidebar/div.post/ul"]
 
 
 CASES = {
@@ -36,6 +36,7 @@ CASES = {
     "unclosed": ("<article><p>one<b>two</article><footer>no", "onetwo"),
     "stray": ("</div><article></p><p>one</div> two</p></article>", "one two"),
     "empty": ("<nav>only menu</nav>", ""),
+    "page classes": ('<main class="with-sidebar"><p>kept</p><article class="comment">no</article></main>', "kept"),
     "less": ("<article><p>1 < 2 &notanentity; &#233;&nbsp;x</p></article>", "1 < 2 ¬anentity; é x"),
 }
 
