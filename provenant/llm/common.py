@@ -71,7 +71,7 @@ def record(**columns) -> pa.RecordBatch:
 
 
 #: Rows of a few numbers up to which a table is sent to every executor; it is counted first.
-SENT_ROWS = 2_000_000
+SENT_ROWS = 500_000
 
 
 def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:

@@ -36,14 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, record, sent_if_small, table, whole_groups, written
+from .common import SENT_ROWS, map_rows, record, table, whole_groups, written
 
 DEPTH = 400
 #: Length of anchors.
 GRAM = 64
 #: Distinct runs of one anchor up to which one task sorts them: about 30 MB.
 CROWDED = 50_000
-#: Anchors sent to every executor at most: 16 MB.
+#: Anchors, or repeated intervals, sent to every executor at most: 16 or 64 MB.
 SENT_ANCHORS = 2_000_000
 
 _random = np.random.default_rng(20240229)
@@ -246,7 +246,7 @@ def _border_runs(keyed: DataFrame, found: DataFrame, mixed: DataFrame, depth: in
                 else:
                     held[ahash, rhash] = [anchor - start, count, 1, content]
                     size += len(content)
-            if size > 32 << 20:
+            if size > 8 << 20:
                 yield out()
                 size = 0
         yield out()
@@ -281,23 +281,63 @@ def _spans(keyed: DataFrame, depth: int, crowded: int) -> DataFrame:
     if not crowds.isEmpty():
         hits = hits.unionByName(_count_windows(border.join(crowds, "ahash", "left_semi"), depth))
     hits = written(hits, "repeated")
-    held = found.join(sent_if_small(groups), "ahash")
-    whole = held.where("same").select("doc_key", "row_key", F.col("start").alias("first"), "windows")
-    part = (
-        held.where("not same").select("doc_key", "row_key", "ahash", "rhash", "start")
-        .join(sent_if_small(hits), ["ahash", "rhash"])
-        .select("doc_key", "row_key", (F.col("start") + F.col("first")).alias("first"), "windows")
-    )
-    spans = whole.unionByName(part).groupBy("doc_key", "row_key").agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
+    if groups.limit(SENT_ANCHORS + 1).count() <= SENT_ANCHORS and hits.limit(SENT_ANCHORS + 1).count() <= SENT_ANCHORS:
+        spans = _looked_up(found, groups, hits)
+    else:
+        held = found.join(groups, "ahash")
+        whole = held.where("same").select("doc_key", "row_key", F.col("start").alias("first"), "windows")
+        part = held.where("not same").select("doc_key", "row_key", "ahash", "rhash", "start").join(hits, ["ahash", "rhash"])
+        spans = whole.unionByName(part.select("doc_key", "row_key", (F.col("start") + F.col("first")).alias("first"), "windows"))
+        spans = spans.groupBy("doc_key", "row_key").agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
     return written(spans, "spans")
 
 
+def _pair_key(ahash: np.ndarray, rhash: np.ndarray) -> np.ndarray:
+    return _mixed(ahash.view(np.uint64) * _STEP[4] + rhash.view(np.uint64))
+
+
+def _looked_up(found: DataFrame, groups: DataFrame, hits: DataFrame) -> DataFrame:
+    """The spans of each document by search in sorted arrays, which every executor gets: at most 40 bytes for each row."""
+    same = np.sort(groups.where("same").select("ahash").toPandas()["ahash"].to_numpy(np.int64))
+    rows = hits.toPandas()
+    ahash, rhash, first, windows = (rows[c].to_numpy(k) for c, k in (("ahash", np.int64), ("rhash", np.int64), ("first", np.int32), ("windows", np.int32)))
+    order = np.argsort(_pair_key(ahash, rhash))
+    arrays = tuple(x[order] for x in (_pair_key(ahash, rhash), ahash, rhash, first, windows))
+    sent = found.sparkSession.sparkContext.broadcast((same, arrays))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same, (keys, ahash, rhash, first, windows) = sent.value
+        for batch in batches:
+            doc, row, a, r, start, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_key", "row_key", "ahash", "rhash", "start", "windows"))
+            full = np.flatnonzero(same[np.minimum(np.searchsorted(same, a), len(same) - 1)] == a) if len(same) else np.zeros(0, np.int64)
+            key = _pair_key(np.ascontiguousarray(a), np.ascontiguousarray(r))
+            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            run = np.repeat(np.arange(len(a)), high - low)
+            at = np.arange(len(run)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[run]
+            true = (ahash[at] == a[run]) & (rhash[at] == r[run])
+            run, at = run[true], at[true]
+            own = np.concatenate([full, run])
+            begin = np.concatenate([start[full], start[run] + first[at]])
+            count = np.concatenate([n[full], windows[at]])
+            order = np.lexsort((begin, own))
+            own, begin, count = own[order], begin[order], count[order]
+            # rows of a document lie together: one row for each, with all that was found
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[own]) != 0) | (np.diff(row[own]) != 0)]))[: len(own)]
+            ends = pa.array(np.append(new, len(own)).astype(np.int32))
+            pairs = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], ["first", "windows"])
+            yield record(doc_key=pa.array(doc[own[new]]), row_key=pa.array(row[own[new]]), spans=pa.ListArray.from_arrays(ends, pairs))
+
+    found = found.mapInArrow(search, "doc_key long, row_key long, spans array<struct<first: int, windows: int>>")
+    return found.groupBy("doc_key", "row_key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
+
+
 def _with_spans(docs: DataFrame, depth: int, crowded: int) -> DataFrame:
     """The rows of `docs` and a column _spans."""
     spans = _spans(_keyed(docs.select("doc_id", "text")), depth, crowded).withColumnsRenamed({"doc_key": "_doc", "row_key": "_row", "spans": "_spans"})
-    # a span list has some bytes for each repeated passage of its row; texts move only if these lists are many
+    # texts move only if the lists of spans, counted by their members, are too long to be sent to every executor
+    few = (spans.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= SENT_ROWS
     own = docs.withColumns({"_d": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "_r": F.xxhash64("doc_id", "text")})
-    return own.join(sent_if_small(spans, SENT_ANCHORS // 4), (own["_d"] == spans["_doc"]) & (own["_r"] == spans["_row"]), "left").drop("_d", "_r", "_doc", "_row")
+    return own.join(F.broadcast(spans) if few else spans, (own["_d"] == spans["_doc"]) & (own["_r"] == spans["_row"]), "left").drop("_d", "_r", "_doc", "_row")
 
 
 def removed_runs(spans: list[dict] | None, depth: int = DEPTH) -> list[tuple[int, int]]:

@@ -49,7 +49,7 @@ def make_texts(seed=1):
 def test_equals_brute_force(spark, crowded, monkeypatch):
     if crowded == 1:  # the ways for what can't be sent to all executors
         monkeypatch.setattr(suffixes, "SENT_ANCHORS", 0)
-        monkeypatch.setattr(suffixes, "sent_if_small", lambda df, rows=0: df)
+        monkeypatch.setattr(suffixes, "SENT_ROWS", 0)
     texts = make_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as ahash", "2 as _spans")
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffixes.repeated_spans(docs, crowded=crowded).collect()}
