@@ -9,6 +9,7 @@ import os
 import tempfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -603,6 +604,36 @@ def udf_class_method(t):
     return flat(t.customer.select("c_custkey", shout("c_name").alias("x")))
 
 
+@query("""SELECT o_orderpriority AS p, false AS p__tag, round(avg(o_totalprice), 2) AS a, bool_or(o_orderstatus = 'F') AS a__tag FROM orders GROUP BY 1""")
+def udaf_pandas(t):
+    def mean(v: pd.Series) -> float:
+        return v.mean()
+
+    average = F.pandas_udf(mean, "double")
+    df = t.orders.groupBy(c("o_orderpriority").alias("p")).agg(average("o_totalprice").alias("a"))
+    return flat(df.select("p", F.round("a", 2).alias("a")))
+
+
+@query("SELECT CAST(count(*) AS DOUBLE) AS n, true AS n__tag FROM orders")
+def udaf_pandas_global(t):
+    def size(v: pd.Series) -> float:
+        return float(len(v))
+
+    return flat(t.orders.agg(F.pandas_udf(size, "double")("o_totalprice").alias("n")))
+
+
+@query("SELECT c_custkey, false AS c_custkey__tag, part, true AS part__tag FROM (SELECT c_custkey, unnest(string_split(c_name, '#')) AS part FROM customer)")
+def udtf_split(t):
+    class Split:
+        def eval(self, text):
+            for part in text.split("#"):
+                yield (part,)
+
+    name = f"split_{os.urandom(4).hex()}"
+    t.spark.udtf.register(name, F.udtf(Split, returnType="part string"))
+    return ProvenanceSession(t.spark).sql(f"SELECT c_custkey, part FROM {{customer}}, LATERAL {name}(c_name)", customer=t.customer).to_flat()
+
+
 # -- map and reduce -------------------------------------------------------------------
 
 
@@ -625,6 +656,13 @@ def map_reduce_schema(t):
     return flat(df.select(c("_k0").alias("k"), F.round("_r0", 2).alias("total"), c("_r1").alias("n")))
 
 
+@query("""SELECT o_orderpriority AS p, false AS p__tag, o_orderstatus AS s, false AS s__tag, max(o_totalprice) AS m, o_orderstatus = 'F' AS m__tag, count(*) AS n, false AS n__tag FROM orders GROUP BY o_orderpriority, o_orderstatus""")
+def map_reduce_inferred(t):
+    df = t.orders.select("o_orderpriority", "o_orderstatus", "o_totalprice")
+    out = map_reduce(df, lambda x: ((x[0], x[1]), (x[2], 1)), lambda a, b: (max(a[0], b[0]), a[1] + b[1]))
+    return flat(out.select(c("_1._1").alias("p"), c("_1._2").alias("s"), c("_2._1").alias("m"), c("_2._2").alias("n")))
+
+
 @query("SELECT upper(o_orderpriority) AS k, true AS k__tag, count(*) AS v, true AS v__tag FROM orders GROUP BY 1")
 def map_reduce_fallback(t):
     df = t.orders.select("o_orderpriority", "o_totalprice")

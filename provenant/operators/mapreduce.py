@@ -94,21 +94,26 @@ def _tuple(x) -> tuple:
 
 
 def map_reduce(
-    df: DataFrame, map_row: Callable, reduce_values: Callable, schema: T.StructType | str, lattice: Lattice = BOOL_OR
+    df: DataFrame, map_row: Callable, reduce_values: Callable, schema: T.StructType | str | list[str] | None = None, lattice: Lattice = BOOL_OR
 ) -> DataFrame:
     """`df.rdd.map(map_row).reduceByKey(reduce_values).toDF(schema)`, labelled for further tracking.
 
     `map_row` returns (key, value), each one value or a tuple; `schema` has two fields, structs
-    where tuples are.  Only boolean tags go through the RDD.
+    where tuples are.  Without a schema, or with a list of names, types are inferred from a first
+    row, which takes a run of its own; names are _1 and _2 then.  Only boolean tags go through
+    the RDD.
     """
     spark = df.sparkSession
-    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    elif schema is None or isinstance(schema, (list, tuple)):
+        pairs = df.rdd.map(map_row).reduceByKey(reduce_values)
+        schema = (pairs.toDF() if schema is None else pairs.toDF(list(schema))).schema
     if len(schema.fields) != 2:
         raise ValueError("the schema of keys and values has two fields")
     if lattice is not BOOL_OR:
         raise ValueError("only boolean tags go through an RDD")
     tracked = track(df)
-    n = len(df.columns)
     try:
         key, value = map_row(_Row(df.columns))
         reads = [[sorted(_columns(x)) for x in _tuple(part)] for part in (key, value)]
@@ -138,7 +143,6 @@ def map_reduce(
         shown = [p if isinstance(f.dataType, T.StructType) else p[0] for p, f in zip((k, v), schema.fields, strict=True)]
         return (*shown, *t)
 
-    assert n == len(df_names)
     hidden = [f"__mr{i}" for i in range(sum(width))]
     full = T.StructType([*schema.fields, *(T.StructField(h, T.BooleanType()) for h in hidden)])
     out = spark.createDataFrame(source.rdd.map(one).reduceByKey(both).map(flat), full)

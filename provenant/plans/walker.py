@@ -80,6 +80,8 @@ class Walker:
         name = kind(e)
         if name == "AttributeReference":
             return tags.get(key(e))
+        if name == "OuterReference":
+            return tags.get(key(e.e()))
         if name in ("Alias", "Cast", "ToPrettyString", "AnsiCast", "UpCast", "KnownNotNull", "KnownNullable", "TempResolvedColumn"):
             tag = self.expression(e.children().head(), tags)
             return tag if name == "Alias" else self.join([tag])
@@ -208,7 +210,40 @@ class Walker:
         child = self.walk(plan.child())
         results = items(plan.aggregateExpressions())
         tags = {key(e): self.mapped(self.expression(e, child.tags), self.lattice.over_rows) for e in results}
-        return self._grouped(child, items(plan.groupingExpressions()), [self.b.column(e) for e in results], tags, items(plan.output()))
+        keys, output = items(plan.groupingExpressions()), items(plan.output())
+        if any(self._has(e, "PythonUDAF") for e in results) and any(map(self.flat, tags.values())):
+            return self._beside(plan, child, keys, tags, output)
+        return self._grouped(child, keys, [self.b.column(e) for e in results], tags, output)
+
+    def _has(self, e, name: str) -> bool:
+        return kind(e) == name or any(self._has(c, name) for c in items(e.children()))
+
+    def _beside(self, plan, child: Node, keys: list, tags: dict[int, Tag], output: list) -> Node:
+        """Python aggregates can't share an aggregation with built-in ones: tags get their own, joined on the keys."""
+        flat: dict[str, Column] = {}
+
+        def name(tag: Column) -> str:
+            flat[n := f"__t{next(self.names)}"] = tag
+            return n
+
+        named = {k: self.mapped(t, name) for k, t in tags.items() if self.flat(t)}
+        aliases = [f"__k{k}" for k in range(len(keys))]
+        beside = child.frame.groupBy(*(self.b.column(k).alias(a) for k, a in zip(keys, aliases, strict=True))).agg(*(t.alias(n) for n, t in flat.items()))
+        ids = {key(e): e for e in output}
+        own = [next((a for e, a in zip(items(plan.aggregateExpressions()), output, strict=True) if key(e) in ids and self._same_key(e, k)), None) for k in keys]
+        if any(a is None for a in own):
+            raise Untrackable("a Python aggregate whose keys aren't in its result")
+        values = self.b.frame(plan)
+        if not keys:
+            frame = values.select(*(self.b.column(a) for a in output), *(beside.select(n).scalar().alias(n) for n in flat))
+        else:
+            frame = values.join(beside, [self.b.column(a).eqNullSafe(beside[n]) for a, n in zip(own, aliases, strict=True)], "left")
+        got = {a.name(): a for a in items(analyzed(frame).output())[len(output) :]}
+        return Node(frame, output, {k: self.mapped(t, lambda n: self.lattice.cleaned(self.b.column(got[n]))) for k, t in named.items()})
+
+    def _same_key(self, result, group) -> bool:
+        inner = result.child() if kind(result) == "Alias" else result
+        return inner.semanticEquals(group)
 
     def _grouped(self, child: Node, keys: list, columns: list[Column], tags: dict[int, Tag], output: list) -> Node:
         conf = self.b.spark.conf
@@ -342,6 +377,15 @@ class Walker:
         tags |= {key(a): own for a in items(plan.generatorOutput())}
         return Node(self.b.with_children(plan, [child.frame]), items(plan.output()), tags)
 
+    def _lateraljoin(self, plan) -> Node:
+        """Rows that a table function or subquery makes of each row: tagged by the columns that it reads."""
+        child, inner = self.walk(plan.left()), plan.right()
+        if self._sources(inner.plan()):
+            raise Untrackable("lateral subquery over labelled tables")
+        own = self.join([self.expression(a, child.tags) for a in items(inner.outerAttrs())])
+        tags = child.tags | {key(a): own for a in items(inner.plan().output())}
+        return Node(self.b.with_children(plan, [child.frame]), items(plan.output()), tags)
+
     def _window(self, plan) -> Node:
         child = self.walk(plan.child())
         frame = self.b.with_children(plan, [child.frame])
