@@ -321,11 +321,17 @@ def _looked_up(found: DataFrame, groups: DataFrame, hits: DataFrame) -> DataFram
             count = np.concatenate([n[full], windows[at]])
             order = np.lexsort((begin, own))
             own, begin, count = own[order], begin[order], count[order]
-            # rows of a document lie together: one row for each, with all that was found
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[own]) != 0) | (np.diff(row[own]) != 0)]))[: len(own)]
-            ends = pa.array(np.append(new, len(own)).astype(np.int32))
-            pairs = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], ["first", "windows"])
-            yield record(doc_key=pa.array(doc[own[new]]), row_key=pa.array(row[own[new]]), spans=pa.ListArray.from_arrays(ends, pairs))
+            # rows of a document lie together, and windows that follow each other are one interval
+            other = np.concatenate([[True], (np.diff(doc[own]) != 0) | (np.diff(row[own]) != 0)])[: len(own)]
+            end = begin + count
+            apart = other.copy()
+            apart[1:] |= (begin[1:] > end[:-1]) | (begin[1:] < begin[:-1])
+            new = np.flatnonzero(apart)
+            end = end[np.append(new[1:] - 1, len(own) - 1)[: len(new)]]
+            own, begin, other = own[new], begin[new], np.flatnonzero(other[new])
+            bounds = pa.array(np.append(other, len(own)).astype(np.int32))
+            pairs = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["first", "windows"])
+            yield record(doc_key=pa.array(doc[own[other]]), row_key=pa.array(row[own[other]]), spans=pa.ListArray.from_arrays(bounds, pairs))
 
     found = found.mapInArrow(search, "doc_key long, row_key long, spans array<struct<first: int, windows: int>>")
     return found.groupBy("doc_key", "row_key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
