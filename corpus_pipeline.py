@@ -25,9 +25,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by SimHash (4-word shingles, 4 bits), the one of the smallest doc_id."""
+    """Of texts linked by SimHash at a similarity of 0.8 on 5-word shingles, the one of the smallest doc_id."""
     keyed = row_keys(docs).select(F.col("_row").alias("doc_id"), "text")
-    found = simhash.near_duplicates(keyed)
+    found = simhash.similar_duplicates(keyed)
     return keep_first(docs, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_rows, record, table
+from .common import DROPS, map_rows, record, table
 
 #: White space for str.split() but not for the tokenizer's pattern.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -275,6 +275,8 @@ def encoder(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
+DROPS.append(encoder.cache_clear)
+
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, ids binary, decoded string) of every text; `vocabulary` is a path that every executor has."""
     path = vocabulary or default_vocabulary()
@@ -292,7 +294,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
 
         return step
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, ids binary, decoded string")
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, ids binary, decoded string", keep=True)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,4 +316,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         return step
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return map_rows(docs, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keep=True)

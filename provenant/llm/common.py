@@ -51,12 +51,27 @@ def fold(doc_id: Column | str, modulus: int, rest: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(modulus)) == rest, F.lit(False))
 
 
+#: What drops the caches that a worker process keeps between tasks.
+DROPS: list[Callable[[], None]] = []
+
+
+def drop_caches() -> None:
+    """Called where a task of another operator begins in a worker that Spark uses again."""
+    for drop in DROPS:
+        drop()
+
+
 def map_rows(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str, rows: int = 512
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str, rows: int = 512, keep: bool = False
 ) -> DataFrame:
-    """Apply `make()(batch)` to slices of at most `rows` rows; `make` runs once in each task."""
+    """Apply `make()(batch)` to slices of at most `rows` rows; `make` runs once in each task.
+
+    `keep`: the worker's caches are this operator's own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            drop_caches()
         step = make()
         for batch in batches:
             for start in range(0, batch.num_rows, rows):

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, record, table, written
+from .common import drop_caches, map_rows, record, table, whole_groups, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -81,14 +81,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 class BitPlanes:
-    """Distinct 64-bit values as 64 bit planes; row r is bit r % 64 of word r // 64."""
+    """Distinct values as bit planes, one for each of their bits; row r is bit r % 64 of word r // 64."""
 
     #: Words counted together, and abandoned together.
     BLOCK = 64
 
     def __init__(self, values: np.ndarray):
-        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        padded = np.zeros((64, -(-len(values) // 64) * 64), np.uint8)
+        """`values`: one 64-bit word a row, or several in a row of a matrix."""
+        rows = values.reshape(len(values), -1).astype("<u8")
+        bits = np.unpackbits(rows.view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+        padded = np.zeros((bits.shape[1], -(-len(values) // 64) * 64), np.uint8)
         padded[:, : len(values)] = bits.T
         self.planes = np.ascontiguousarray(np.packbits(padded, axis=1, bitorder="little")).view("<u8")
         self.live = np.zeros(self.planes.shape[1] * 64, np.bool_)
@@ -102,7 +104,8 @@ class BitPlanes:
         """
         alive = np.packbits(self.live, bitorder="little").view("<u8")
         words = np.flatnonzero(alive)
-        asked = np.where(queries[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1), ~np.uint64(0), np.uint64(0))
+        ones = queries.reshape(len(queries), -1, 1) >> np.arange(64, dtype=np.uint64) & np.uint64(1)
+        asked = np.where(ones.reshape(len(queries), -1), ~np.uint64(0), np.uint64(0))
         who, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         top = radius.bit_length()
         bias = (1 << top) - 1 - radius  # counting from here, one more than radius overflows
@@ -112,7 +115,7 @@ class BitPlanes:
             shape = len(queries), len(block)
             beyond = np.broadcast_to(~alive[block], shape).copy()
             count = [np.full(shape, ~np.uint64(0) if bias >> k & 1 else np.uint64(0)) for k in range(top)]
-            for b in range(64):
+            for b in range(len(planes)):
                 carry = planes[b] ^ asked[:, b : b + 1]
                 for k in range(top):
                     both = count[k] & carry
@@ -135,7 +138,12 @@ _TOGETHER = 64
 
 
 def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges that join all distinct values linked within `radius`: about one for each value, never all pairs."""
+    """Edges between distinct values that join all linked within `radius`."""
+    return [(int(values[a]), int(values[b])) for a, b in forest_rows(values, radius)]
+
+
+def forest_rows(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs of row numbers that join all rows linked within `radius`: about one for each row, never all pairs."""
     if len(values) < 2:
         return []
     if len(values) < 33:  # planes don't pay for few rows
@@ -160,14 +168,15 @@ def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
                 joined.add((first, q))
             elif q != row:
                 joined.add((q, row))
-        edges += [(int(values[x]), int(values[y])) for x, y in joined]
+        edges += joined
         reached = np.fromiter((r for r in finder if planes.live[r]), np.int64)
         planes.live[reached] = False
         stack += reached.tolist()
 
 
 def _small_forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    near = np.bitwise_count(values[:, None] ^ values[None]) <= radius
+    rows = values.reshape(len(values), -1)
+    near = np.bitwise_count(rows[:, None] ^ rows[None]).sum(2) <= radius
     left, edges = np.ones(len(values), np.bool_), []
     for seed in range(len(values)):
         if not left[seed]:
@@ -178,7 +187,7 @@ def _small_forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
             at = stack.pop()
             for k in np.flatnonzero(near[at] & left):
                 left[k] = False
-                edges.append((int(values[at]), int(values[k])))
+                edges.append((at, int(k)))
                 stack.append(int(k))
     return edges
 
@@ -231,6 +240,7 @@ def links(fps: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) -> DataF
 
     def grow_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Small buckets lie behind each other in a sorted partition: one pass, not one call for each."""
+        drop_caches()
         names = None
         held: list[pa.RecordBatch] = []
 
@@ -320,6 +330,96 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     )
 
 
+# -- near copies of a given similarity ------------------------------------------
+
+WORDS, SIMILARITY = 5, 0.8
+#: Of 128 bits, how many pairs of that similarity and above differ in at most, but for about one in thirty at its very edge.
+WIDE_RADIUS = 27
+#: Chance that a pair of the similarity shares no bucket.
+MISSED = 0.01
+
+
+def wide_fingerprint(text: str, shingle: int = WORDS) -> bytes:
+    """128 majority bits of the distinct shingles' 128-bit hashes; 16 bytes."""
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return bytes(16)
+    joined, digest = b" ".join(words), xxhash.xxh3_128_digest
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[: max(0, len(words) - shingle)])]
+    hashes = list({digest(joined[a:b]) for a, b in zip(starts, ends[shingle - 1 :] or ends[-1:], strict=True)})
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), 4096):
+        part = np.frombuffer(b"".join(hashes[at : at + 4096]), np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def _tables(count: int) -> list[tuple[int, int]]:
+    """Masks of random bits of both words: so many bits that buckets stay small, so many tables that few pairs meet in none."""
+    bits = max(16, count.bit_length() - 2)
+    same = (1 - np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi) ** bits
+    tables = int(np.ceil(np.log(MISSED) / np.log1p(-same)))
+    random = np.random.default_rng(128)
+    out = []
+    for _ in range(tables):
+        own = random.choice(128, bits, replace=False).tolist()
+        out.append((_signed(_mask([b for b in own if b < 64])), _signed(_mask([b - 64 for b in own if b >= 64]))))
+    return out
+
+
+def wide_links(nodes: DataFrame, count: int, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(a, b) edges between rows of (node, lo, hi) that join near all within the radius."""
+    masks = [F.struct(F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, (lo, hi) in enumerate(_tables(count))]
+    keys = F.transform(F.array(*masks), lambda m: F.xxhash64(m["k"], F.col("lo").bitwiseAND(m["lo"]), F.col("hi").bitwiseAND(m["hi"])))
+    rows = nodes.select(F.explode(keys).alias("bucket"), "node", "lo", "hi")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
+        for whole in whole_groups(batches, "bucket"):
+            bucket, node, lo, hi = (whole.column(c).to_numpy() for c in ("bucket", "node", "lo", "hi"))
+            values = np.stack([lo, hi], 1).view(np.uint64)
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
+            size = np.diff(np.append(begin, len(bucket)))
+            left = np.repeat(begin + size, size) - np.arange(len(bucket))  # rows of the bucket from here on
+            few = np.repeat(size <= 8, size)
+            pairs = []
+            for lag in range(1, 8):
+                at = np.flatnonzero(few & (left > lag))
+                at = at[np.bitwise_count(values[at] ^ values[at + lag]).sum(1) <= radius]
+                pairs.append(np.stack([node[at], node[at + lag]], 1))
+            for k, n in zip(begin[size > 8].tolist(), size[size > 8].tolist(), strict=True):
+                found = np.array(forest_rows(values[k : k + n], radius), np.int64).reshape(-1, 2)
+                pairs.append(node[k : k + n][found])
+            edges = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
+            yield record(a=pa.array(edges[:, 0]), b=pa.array(edges[:, 1]))
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a long, b long").distinct()
+
+
+def similar_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of texts linked by a similarity of about 0.8 or more on 5-word shingles.
+
+    128-bit fingerprints of distinct shingles estimate the similarity; `WIDE_RADIUS` and
+    `MISSED` say how near the edge.  Doc ids must not be null: pass row keys.
+    """
+
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            fp = b"".join([wide_fingerprint(t or "") for t in batch.column(1).to_pylist()])
+            words = np.frombuffer(fp, np.int64).reshape(-1, 2)
+            yield record(doc_id=batch.column(0), lo=pa.array(words[:, 0]), hi=pa.array(words[:, 1]))
+
+        return step
+
+    fps = written(map_rows(docs.select("doc_id", "text"), make, "doc_id long, lo long, hi long"), "wide-fingerprints")
+    nodes = written(fps.groupBy("lo", "hi").agg(F.min("doc_id").alias("node")), "wide-nodes")
+    edges = written(wide_links(nodes, nodes.count()), "wide-edges")
+    roots = components(edges)
+    classes = nodes.join(roots, "node", "left").select("lo", "hi", F.coalesce("root", "node").alias("component_id"))
+    return fps.join(classes, ["lo", "hi"]).select("doc_id", "component_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

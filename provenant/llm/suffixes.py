@@ -36,13 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SENT_ROWS, map_rows, record, table, whole_groups, written
+from .common import SENT_ROWS, drop_caches, map_rows, record, table, whole_groups, written
 
 DEPTH = 400
 #: Length of anchors.
 GRAM = 64
-#: Distinct runs of one anchor up to which one task sorts them: about 30 MB.
-CROWDED = 50_000
+#: Distinct runs of one anchor up to which one task sorts them: about 150 MB.
+CROWDED = 10_000
+#: Runs sorted together, but for an anchor that has more.
+_TOGETHER = 1_000
 #: Anchors, or repeated intervals, sent to every executor at most: 16 or 64 MB.
 SENT_ANCHORS = 2_000_000
 
@@ -151,8 +153,19 @@ _HITS = "ahash long, rhash long, first int, windows int"
 def _sort_runs(border: DataFrame, depth: int) -> DataFrame:
     """Repeated intervals of border runs, an anchor in one task."""
 
+    def parts(whole: pa.Table) -> Iterator[pa.Table]:
+        """Tables of whole anchors, of few runs each."""
+        ahash = whole.column("ahash").to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], np.diff(ahash) != 0]))
+        begin = 0
+        for at in [*new[1:].tolist(), len(ahash)]:
+            if at - begin >= _TOGETHER or at == len(ahash):
+                yield whole.slice(begin, at - begin)
+                begin = at
+
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_groups(batches, "ahash"):
+        drop_caches()
+        for whole in (part for table in whole_groups(batches, "ahash") for part in parts(table)):
             ahash, rhash, offset, count, copies = (whole.column(c).to_numpy() for c in ("ahash", "rhash", "place", "windows", "copies"))
             order = np.lexsort((rhash, ahash))
             new = np.concatenate([[True], (np.diff(ahash[order]) != 0) | (np.diff(rhash[order]) != 0)])
@@ -221,6 +234,7 @@ def _border_runs(keyed: DataFrame, found: DataFrame, mixed: DataFrame, depth: in
     """The runs of `mixed` anchors with their bytes, once for each distinct run of a batch or task."""
 
     def emit(texts: Iterator[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         held: dict[tuple[int, int], list] = {}
         size = 0
 
@@ -306,6 +320,7 @@ def _looked_up(found: DataFrame, groups: DataFrame, hits: DataFrame) -> DataFram
     sent = found.sparkSession.sparkContext.broadcast((same, arrays))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         same, (keys, ahash, rhash, first, windows) = sent.value
         for batch in batches:
             doc, row, a, r, start, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_key", "row_key", "ahash", "rhash", "start", "windows"))

@@ -114,3 +114,39 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_similar_copies_are_found_and_others_left_alone(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 8)))
+    rows, kin = [], {}
+    for k in range(40):
+        base = [word() for _ in range(r.choice([40, 200, 900]))]
+        rows.append((10 * k, " ".join(base)))
+        for c in range(1, 4):
+            text = base[:]
+            for at in r.sample(range(len(base)), max(1, len(base) // 120)):
+                text[at] = word()
+            rows.append((10 * k + c, " ".join(text)))
+    rows += [(5000, None), (5001, ""), (5002, "one two"), (5003, "one two")]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in rows for w in [(t or "").split()]}
+    got = {g.doc_id: g.component_id for g in simhash.similar_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and got[5000] == got[5001] != got[5002] == got[5003]
+    pairs = missed = 0
+    for k in range(40):
+        for a in range(10 * k, 10 * k + 4):
+            for b in range(10 * k, a):
+                if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.85:
+                    pairs += 1
+                    missed += got[a] != got[b]
+    assert pairs > 100 and missed <= pairs // 50
+    assert all(a // 10 == b // 10 for a, b in got.items() if a < 5000 and a != b and abs(b) < 5000)
+
+
+def test_wide_planes_count_both_words():
+    r = np.random.default_rng(4)
+    values = r.integers(0, 1 << 63, (90, 2)).astype(np.uint64)
+    values[40:] = values[:50] ^ np.uint64(0b1011)
+    who, rows = simhash.BitPlanes(values).within(values[:9], 27)
+    near = np.bitwise_count(values[:9, None] ^ values[None]).sum(2) <= 27
+    assert sorted(zip(who, rows)) == sorted(zip(*np.nonzero(near)))
