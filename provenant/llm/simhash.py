@@ -135,6 +135,8 @@ class BitPlanes:
 
 #: Queries compared at once.
 _TOGETHER = 64
+#: Fewer than these are compared by popcount, as planes don't pay for them.
+_FEW = 8
 
 
 def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -148,30 +150,51 @@ def forest_rows(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         return []
     if len(values) < 33:  # planes don't pay for few rows
         return _small_forest(values, radius)
-    planes, edges, stack, seed = BitPlanes(values), [], [], 0
+    planes, edges, seed = BitPlanes(values), [], 0
     while True:
-        if stack:  # reached already: compared with what is not
-            queries = np.array(stack[-_TOGETHER:])
-            del stack[-_TOGETHER:]
-        else:  # not reached: compared with each other, too
-            queries = seed + np.flatnonzero(planes.live[seed : len(values)])[:_TOGETHER]
-            if not len(queries):
-                return edges
-            seed = int(queries[-1]) + 1
+        # not reached: compared with each other, too
+        queries = seed + np.flatnonzero(planes.live[seed : len(values)])[:_TOGETHER]
+        if not len(queries):
+            return edges
+        seed = int(queries[-1]) + 1
         who, rows = planes.within(values[queries], radius)
-        planes.live[queries] = False
-        finder: dict[int, int] = {}
-        joined = set()
-        for q, row in zip(queries[who].tolist(), rows.tolist(), strict=True):
-            first = finder.setdefault(row, q)
-            if first != q:
-                joined.add((first, q))
-            elif q != row:
-                joined.add((q, row))
-        edges += joined
-        reached = np.fromiter((r for r in finder if planes.live[r]), np.int64)
-        planes.live[reached] = False
-        stack += reached.tolist()
+        at = queries[who]
+        at, rows = at[at != rows], rows[at != rows]
+        linked = np.unique(at)
+        planes.live[np.setdiff1d(queries, linked)] = False
+        for first in linked.tolist():
+            if planes.live[first]:
+                planes.live[first] = False
+                edges += _grow(planes, values, first, rows[at == first], radius)
+
+
+def _grow(planes: BitPlanes, values: np.ndarray, first: int, near: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges of one row's component, taken from the live rows; `near` has the rows within the radius of `first`.
+
+    One component at a time: what is reached leaves the planes, as rows of one component need not be
+    compared with each other, while rows of two that are grown together would have to be.
+    """
+    edges, stack = [], []
+    who, rows = np.full(len(near), first), near
+    while True:
+        rows, at = np.unique(rows, return_index=True)
+        new = planes.live[rows]
+        rows, who = rows[new], who[at[new]]
+        planes.live[rows] = False
+        edges += zip(who.tolist(), rows.tolist(), strict=True)
+        stack += rows.tolist()
+        if not stack:
+            return edges
+        queries = np.array(stack[-_TOGETHER:])
+        del stack[-_TOGETHER:]
+        if len(queries) < _FEW:
+            left = np.flatnonzero(planes.live)
+            apart = [np.bitwise_count(values[left] ^ values[q]) for q in queries]
+            hits = [left[(d if d.ndim == 1 else d.sum(1)) <= radius] for d in apart]
+            who, rows = np.repeat(queries, [len(h) for h in hits]), np.concatenate(hits)
+        else:
+            who, rows = planes.within(values[queries], radius)
+            who = queries[who]
 
 
 def _small_forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:

@@ -150,3 +150,32 @@ def test_wide_planes_count_both_words():
     who, rows = simhash.BitPlanes(values).within(values[:9], 27)
     near = np.bitwise_count(values[:9, None] ^ values[None]).sum(2) <= 27
     assert sorted(zip(who, rows)) == sorted(zip(*np.nonzero(near)))
+
+
+def test_sparse_chains_in_large_buckets_stay_whole():
+    def joined(values, edges):
+        root = {v: v for v in values}
+
+        def find(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return classes({v: find(v) for v in values})
+
+    for seed in range(3):
+        r = random.Random(seed)
+        values = set()
+        while len(values) < 600:
+            v = r.getrandbits(64)
+            for _ in range(r.randint(2, 60)):
+                values.add(v)
+                for b in r.sample(range(64), r.randint(2, 4)):
+                    v ^= 1 << b
+        values = r.sample(sorted(values), len(values))
+        edges = simhash.forest(np.array(values, np.uint64))
+        assert all((a ^ b).bit_count() <= 4 for a, b in edges)
+        assert len(edges) == len(values) - len(joined(values, edges))
+        assert joined(values, edges) == classes(roots(values, 4))
