@@ -358,7 +358,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 WORDS, SIMILARITY = 5, 0.8
 #: Of 128 bits, how many pairs of that similarity and above differ in at most, but for about one in thirty at its very edge.
 WIDE_RADIUS = 27
-#: Chance that a pair of the similarity shares no bucket.
+#: Chance that a pair of the similarity shares no bucket, were buckets independent; `similar_duplicates` finds the rest.
 MISSED = 0.01
 
 
@@ -420,27 +420,150 @@ def wide_links(nodes: DataFrame, count: int, radius: int = WIDE_RADIUS) -> DataF
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a long, b long").distinct()
 
 
-def similar_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of texts linked by a similarity of about 0.8 or more on 5-word shingles.
+# -- links of the similarity, none lost ---------------------------------------
+
+#: Bits of a set's parities; two sets differ in at least as many members as their parities in bits.
+PARITIES = 256
+_PARITY = [f"p{k}" for k in range(PARITIES // 64)]
+
+
+def shingle_set(text: str, shingle: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles; of one empty shingle where there are no words."""
+    words = text.encode().translate(_LOWER).split()
+    joined, digest = b" ".join(words), xxhash.xxh3_64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined)], np.uint64)
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[: len(words) - shingle])]
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least 4 in 5, `SIMILARITY`."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
 
-    128-bit fingerprints of distinct shingles estimate the similarity; `WIDE_RADIUS` and
-    `MISSED` say how near the edge.  Doc ids must not be null: pass row keys.
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    odd = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """(doc_id, lo, hi, k0, k1, n, p0.., prefix): fingerprint, the set's own hash, size, parities and smallest members.
+
+    `prefix` has so many members that sets of the similarity share one of them.
     """
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            fp = b"".join([wide_fingerprint(t or "") for t in batch.column(1).to_pylist()])
-            words = np.frombuffer(fp, np.int64).reshape(-1, 2)
-            yield record(doc_id=batch.column(0), lo=pa.array(words[:, 0]), hi=pa.array(words[:, 1]))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            words = np.frombuffer(b"".join(map(wide_fingerprint, texts)), np.int64).reshape(-1, 2)
+            sets = [shingle_set(t) for t in texts]
+            own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+            size = np.array([len(x) for x in sets], np.int64)
+            odd = np.stack([_parities(x) for x in sets])
+            first = size - (4 * size + 4) // 5 + 1
+            members = np.concatenate([x[:k] for x, k in zip(sets, first.tolist(), strict=True)]).view(np.int64)
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(members))
+            parities = {c: pa.array(odd[:, k]) for k, c in enumerate(_PARITY)}
+            yield record(
+                doc_id=batch.column(0), lo=pa.array(words[:, 0]), hi=pa.array(words[:, 1]), k0=pa.array(own[:, 0]), k1=pa.array(own[:, 1]),
+                n=pa.array(size), **parities, prefix=prefix,
+            )
+
+        return step
+
+    columns = ", ".join(f"{c} long" for c in ("doc_id", "lo", "hi", "k0", "k1", "n", *_PARITY))
+    return map_rows(docs.select("doc_id", "text"), make, f"{columns}, prefix array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of `docs` whose texts have the similarity, written."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            sets = [shingle_set(t or "").tobytes() for t in batch.column(1).to_pylist()]
+            yield record(node=batch.column(0), members=pa.array(sets, pa.binary()))
 
         return step
 
-    fps = written(map_rows(docs.select("doc_id", "text"), make, "doc_id long, lo long, hi long"), "wide-fingerprints")
-    nodes = written(fps.groupBy("lo", "hi").agg(F.min("doc_id").alias("node")), "wide-nodes")
-    edges = written(wide_links(nodes, nodes.count()), "wide-edges")
+    def check():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            sets = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (2, 3)]
+            good = pa.array([similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+
+        return step
+
+    texts = docs.select("doc_id", "text").join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(map_rows(texts, make, "node long, members binary"), "similar-sets")
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_members"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_members", "b_members")
+    return written(map_rows(both, check, "a long, b long"), "similar-links")
+
+
+def shared_members(rows: DataFrame) -> DataFrame:
+    """Of (h, node), those whose h has several rows."""
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
+        for whole in whole_groups(batches, "h"):
+            h = whole.column("h").to_numpy()
+            same = np.concatenate([[False], h[1:] == h[:-1], [False]])
+            yield from whole.filter(pa.array(same[1:] | same[:-1])).to_batches()
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(several, "h long, node long")
+
+
+def open_pairs(held: DataFrame, lags: int | None = None) -> DataFrame:
+    """(a, b) of (h, node, root, n, p0..) that share an h, are of two components and may have the similarity.
+
+    Sizes and parities rule out only what can't have it.  `lags`: only of rows so near each other in order of size.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
+        for whole in whole_groups(batches, "h"):
+            h, node, root, n = (whole.column(c).to_numpy() for c in ("h", "node", "root", "n"))
+            odd = np.stack([whole.column(c).to_numpy() for c in _PARITY], 1).view(np.uint64)  # popcount takes signed numbers without their sign
+            left = np.searchsorted(h, h, "right") - np.arange(len(h))
+            pairs, at = [np.zeros((0, 2), np.int64)], np.arange(len(h))
+            for lag in range(1, min(int(left.max()), (lags or len(h)) + 1)):
+                at = at[left[at] > lag]
+                at = at[5 * n[at] >= 4 * n[at + lag]]  # sizes ascend, so a row that is too small stays so
+                k = at[root[at] != root[at + lag]]
+                k = k[9 * np.bitwise_count(odd[k] ^ odd[k + lag]).sum(1, dtype=np.int64) <= n[k] + n[k + lag]]
+                pairs.append(np.stack([node[k], node[k + lag]], 1))
+            found = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
+            yield record(a=pa.array(found[:, 0]), b=pa.array(found[:, 1]))
+
+    dealt = held.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "node", "root", "n", *_PARITY)
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def similar_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of texts linked by a Jaccard similarity of 0.8 or more on distinct 5-word shingles.
+
+    Every link is verified on the texts, and none is lost.  Fingerprints find most links, whose
+    verified ones make components.  Then pairs of two components that share a member of both
+    prefixes are verified: first neighbours in size, then, between what is still apart, all.
+    Doc ids must not be null: pass row keys.
+    """
+    fps = written(described(docs), "wide-fingerprints")
+    facts = [F.first(c).alias(c) for c in ("lo", "hi", "n", *_PARITY)]
+    nodes = written(fps.groupBy("k0", "k1").agg(F.min("doc_id").alias("node"), *facts), "wide-nodes")
+    edges = verified(written(wide_links(nodes.select("node", "lo", "hi"), nodes.count()), "wide-edges"), docs)
+    members = fps.select(F.explode("prefix").alias("h"), F.col("doc_id").alias("node"))
+    shared = written(shared_members(members), "similar-shared")
+    for lags in (1, None):
+        roots = nodes.join(components(edges), "node", "left").select("node", "n", *_PARITY, F.coalesce("root", "node").alias("root"))
+        pairs = written(open_pairs(shared.join(roots, "node"), lags), "similar-pairs")
+        edges = edges.unionByName(verified(pairs, docs))
     roots = components(edges)
-    classes = nodes.join(roots, "node", "left").select("lo", "hi", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(classes, ["lo", "hi"]).select("doc_id", "component_id")
+    classes = nodes.join(roots, "node", "left").select("k0", "k1", F.coalesce("root", "node").alias("component_id"))
+    return fps.join(classes, ["k0", "k1"]).select("doc_id", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,37 @@ def test_sparse_chains_in_large_buckets_stay_whole():
         assert all((a ^ b).bit_count() <= 4 for a, b in edges)
         assert len(edges) == len(values) - len(joined(values, edges))
         assert joined(values, edges) == classes(roots(values, 4))
+
+
+def test_similar_links_are_exact_at_the_edge(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(4, 8)))
+    passage = [word() for _ in range(30)]
+    rows = []
+    for k in range(150):
+        base = [word() for _ in range(r.choice([9, 24, 60, 200]))] + (passage if k % 5 == 0 else [])
+        text = base[:]
+        for at in r.sample(range(len(base)), max(1, round(len(base) * r.uniform(0.01, 0.035)))):
+            text[at] = word()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(text if k % 3 else base[: -max(1, len(base) // 6)]))]
+    rows += [(1000 + k, " ".join(word() for _ in range(6))) for k in range(400)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for _, t in rows for w in [t.split()]]
+    root = {d: d for d, _ in rows}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    links = apart = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if 5 * both >= 4 * (len(a) + len(b) - both):
+                root[find(rows[i][0])] = find(rows[j][0])
+                links += 1
+            apart += 0.6 < both / (len(a) + len(b) - both) < 0.8
+    assert links > 30 and apart > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {g.doc_id: g.component_id for g in simhash.similar_duplicates(docs).collect()}
+    assert classes(got) == classes({d: find(d) for d, _ in rows})
