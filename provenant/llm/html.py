@@ -304,6 +304,15 @@ def read_text(html: str, paths: frozenset[str]) -> str:
     return " ".join(" ".join(blocks).split())
 
 
+def page_text(html: str, paths: frozenset[str]) -> str:
+    """The text at the host's `paths`; of a page that has none of them, at the page's own content paths."""
+    text = read_text(html, paths)
+    if text:
+        return text
+    chars = skeleton(html)[1]
+    return text if paths.intersection(chars) else read_text(html, frozenset(content_paths(chars)))
+
+
 @lru_cache(maxsize=5_000)
 def _paths(rule: str) -> frozenset[str]:
     return frozenset(json.loads(rule))
@@ -322,7 +331,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts = [read_text(h or "", _paths(r)) for h, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [page_text(h or "", _paths(r)) for h, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield record(page_id=batch.column(0), url=batch.column(1), text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))
 
         return step

@@ -73,3 +73,16 @@ def test_random_pages_equal_a_plain_reading(spark):
 
 def test_empty_table(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pages_of_a_smaller_template_keep_their_text(spark):
+    story = "Some words of a story that stands in a plain container. " * 3
+    main = [(k, "http://a.org/x", f"<body><article><p>{story}{k}</p></article></body>") for k in range(5)]
+    plain = [(10, "http://a.org/y", f"<body><nav>Menu</nav><div class='story'><p>{story}</p></div></body>")]
+    post = [(20 + k, "http://b.org/x", f"<body><div class='post'><p>{story}{k}</p></div></body>") for k in range(5)]
+    other = [(30, "http://b.org/y", f"<body><div class='story'><p>{story}</p></div></body>")]
+    lost = [(40, None, f"<body><article><p>{story}</p></article></body>"), (41, None, f"<body><div><p>{story}</p></div></body>")]
+    rows = [*main, *plain, *post, *other, *lost, (50, "http://a.org/z", "<body><nav>Menu only</nav></body>")]
+    got = {g.page_id: g.text for g in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[10] == got[30] == got[40] == got[41] == story.strip()
+    assert got[50] == "" and got[3] == f"{story}3" and got[24] == f"{story}4"
