@@ -1,8 +1,9 @@
-"""Suffix-array deduplication: bytes of 400-byte strings that start at two places at least.
+"""Suffix-array deduplication: what is covered by strings of a given length that start at two places at least.
 
-Only the order of suffixes through 400 bytes matters, and only which of them are equal
-that far.  So suffixes are sorted by most-significant digits, depth-limited, and what is
-alone in its group is dropped before the next digit:
+A text is a sequence of units, its bytes (`BYTES`, 400 of them) or its words (`WORDS`, 50).
+Only the order of suffixes through that many units matters, and only which of them are
+equal that far.  So suffixes are sorted by most-significant digits, depth-limited, and what
+is alone in its group is dropped before the next digit; told for 400 bytes:
 
 1. The first digit of a suffix is its anchor: of all 64-byte strings in its 400 bytes the
    one of smallest hash, and where it lies.  Equal suffixes have equal anchors.  Suffixes
@@ -18,8 +19,10 @@ alone in its group is dropped before the next digit:
    an aggregate.
 
 Digits are compared by 64-bit hashes of their bytes, five independent ones along a suffix.
+Words are those between ASCII white space, told apart by 64-bit hashes; a repeated stretch
+of words goes from the first byte of its first to the last byte of its last word.
 
-Decided cases: null counts as empty; texts under 400 bytes have no windows; matches never
+Decided cases: null counts as empty; texts of fewer units than the length have no windows; matches never
 cross documents; rows that repeat a doc_id and text are documents of their own, whose
 texts repeat each other; extra columns are left out by `repeated_spans` and kept by
 `without_repeats`, where a character that loses a byte goes as a whole.
@@ -28,7 +31,9 @@ texts repeat each other; extra columns are left out by `repeated_spans` and kept
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +44,10 @@ from pyspark.sql import functions as F
 from .common import SENT_ROWS, drop_caches, map_rows, record, table, whole_groups, written
 
 DEPTH = 400
-#: Length of anchors.
-GRAM = 64
-#: Distinct runs of one anchor up to which one task sorts them: about 150 MB.
-CROWDED = 10_000
+#: Words of a repeated stretch, where units are words.
+DEPTH_WORDS = 50
+#: Distinct runs of one anchor up to which one task sorts them.
+CROWDED = 1_000
 #: Runs sorted together, but for an anchor that has more.
 _TOGETHER = 1_000
 #: Anchors, or repeated intervals, sent to every executor at most: 16 or 64 MB.
@@ -59,18 +64,58 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 64 bytes from each place on, by doubling."""
-    h, width = _BYTE[data], 1
-    for k in range(GRAM.bit_length() - 1):
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What suffixes are made of: bytes, or words as their hashes."""
+
+    words: bool
+    depth: int
+
+    @property
+    def digit(self) -> int:
+        return -(-self.depth // 4)
+
+    @property
+    def gram(self) -> int:
+        """Length of anchors: the greatest power of two within a digit."""
+        return 1 << (self.digit.bit_length() - 1)
+
+    @property
+    def kind(self) -> str:
+        return "<u8" if self.words else "u1"
+
+    def read(self, text: str | None) -> np.ndarray:
+        data = (text or "").encode()
+        if not self.words:
+            return np.frombuffer(data, np.uint8)
+        words = data.split()
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+    def in_bytes(self, data: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Ranges of units as ranges of the text's bytes."""
+        if not self.words or not gone:
+            return gone
+        at = [m.span() for m in _WORD.finditer(data)]
+        return [(at[a][0], at[b - 1][1]) for a, b in gone]
+
+
+BYTES, WORDS = Unit(False, DEPTH), Unit(True, DEPTH_WORDS)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the `gram` units from each place on, by doubling."""
+    h, width = _BYTE[data] if data.dtype == np.uint8 else data, 1
+    for k in range(gram.bit_length() - 1):
         h = h[:-width] * _STEP[k] + h[width:]
         width *= 2
     return _mixed(h)
 
 
-def _runs(h: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, count) of the runs of windows that share an anchor, the leftmost smallest hash."""
-    wide = depth - GRAM + 1
+def _runs(h: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, start, count) of the runs of windows, of `wide` hashes, that share an anchor, the leftmost smallest hash."""
     low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     done = 1
     while 2 * done <= wide:
@@ -83,18 +128,17 @@ def _runs(h: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return anchor[start], start, np.diff(np.append(start, len(anchor)))
 
 
-def runs(data: bytes, depth: int = DEPTH, block: int = 1 << 23) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor hash, anchor place, first window, windows) of a text; very long ones are read in blocks."""
-    for base in range(0, max(0, len(data) - depth + 1), block):
-        part = np.frombuffer(data, np.uint8, offset=base)[: block + depth - 1]
-        h = gram_hashes(part)
-        anchor, start, count = _runs(h, depth)
+def runs(data: np.ndarray, unit: Unit = BYTES, block: int = 1 << 23) -> Iterator[tuple[int, int, int, int]]:
+    """(anchor hash, anchor place, first window, windows) of a text's units; very long ones are read in blocks."""
+    for base in range(0, max(0, len(data) - unit.depth + 1), block):
+        h = gram_hashes(data[base : base + block + unit.depth - 1], unit.gram)
+        anchor, start, count = _runs(h, unit.depth - unit.gram + 1)
         yield from zip(h[anchor].view(np.int64).tolist(), (anchor + base).tolist(), (start + base).tolist(), count.tolist(), strict=True)
 
 
-def _content(data: bytes, anchor: int, start: int, count: int, depth: int) -> tuple[int, bytes]:
-    """A run's bytes, and the hash of these and of the anchor's place in them."""
-    content = data[start : start + count + depth - 1]
+def _content(data: np.ndarray, anchor: int, start: int, count: int, depth: int) -> tuple[int, bytes]:
+    """A run's units as bytes, and the hash of these and of the anchor's place in them."""
+    content = data[start : start + count + depth - 1].tobytes()
     return int(np.uint64(xxhash.xxh3_64_intdigest(content, anchor - start)).view(np.int64)), content
 
 
@@ -110,24 +154,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(
-    group: np.ndarray, offset: np.ndarray, count: np.ndarray, copies: np.ndarray, contents: list[bytes], depth: int = DEPTH
+    group: np.ndarray, offset: np.ndarray, count: np.ndarray, copies: np.ndarray, contents: list[bytes], unit: Unit = BYTES
 ) -> tuple[np.ndarray, np.ndarray]:
     """(run, window) of windows that occur twice; runs of one `group` and equal anchor offset may match.
 
     Passes from the most significant digit; groups of one member are dropped after each.
     """
-    data = np.frombuffer(b"".join(contents), np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(c) for c in contents])[:-1]])
+    depth, digit = unit.depth, unit.digit
+    data = np.frombuffer(b"".join(contents), unit.kind)
+    begin = np.concatenate([[0], np.cumsum([len(c) // data.itemsize for c in contents])[:-1]]).astype(np.int64)
     run = np.repeat(np.arange(len(contents)), count)
     window = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
     at, weight = begin[run] + window, copies[run]
-    h = gram_hashes(data)
-    digit = depth // 4
+    h = gram_hashes(data, unit.gram)
     key = group[run] * np.int64(4 * depth) + (offset[run] - window)
     for k in range(5):
         if k:
-            here = at + (k - 1) * digit
-            token = _mixed(h[here] * _STEP[6] + h[here + digit - GRAM] * _STEP[7])
+            here = at + min((k - 1) * digit, depth - digit)
+            token = _mixed(h[here] * _STEP[6] + h[here + digit - unit.gram] * _STEP[7])
             key = (_mixed(key.view(np.uint64)) * _STEP[5] + token).view(np.int64)
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))[: len(order)]
@@ -150,7 +194,7 @@ def _intervals(run: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndar
 _HITS = "ahash long, rhash long, first int, windows int"
 
 
-def _sort_runs(border: DataFrame, depth: int) -> DataFrame:
+def _sort_runs(border: DataFrame, unit: Unit) -> DataFrame:
     """Repeated intervals of border runs, an anchor in one task."""
 
     def parts(whole: pa.Table) -> Iterator[pa.Table]:
@@ -173,21 +217,23 @@ def _sort_runs(border: DataFrame, depth: int) -> DataFrame:
             pick = order[new]
             contents = whole.column("content").take(pa.array(pick)).to_pylist()
             group = np.unique(ahash[pick], return_inverse=True)[1].astype(np.int64)
-            run, first, windows = _intervals(*repeated_windows(group, offset[pick].astype(np.int64), count[pick], total, contents, depth))
+            run, first, windows = _intervals(*repeated_windows(group, offset[pick].astype(np.int64), count[pick], total, contents, unit))
             yield record(ahash=pa.array(ahash[pick][run]), rhash=pa.array(rhash[pick][run]), first=pa.array(first.astype(np.int32)), windows=pa.array(windows.astype(np.int32)))
 
     return border.repartition("ahash").sortWithinPartitions("ahash").mapInArrow(sort, _HITS)
 
 
-def _count_windows(border: DataFrame, depth: int) -> DataFrame:
+def _count_windows(border: DataFrame, unit: Unit) -> DataFrame:
     """The same by rows of windows and an aggregate, for anchors of any number of runs."""
 
+    wide = np.dtype(unit.kind).itemsize
+
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows = []
             for a, r, place, n, copies, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for w in range(n):
-                    d = hashlib.blake2b(content[w : w + depth], digest_size=16).digest()
+                    d = hashlib.blake2b(content[w * wide : (w + unit.depth) * wide], digest_size=16).digest()
                     rows.append((a, place - w, d, r, w, copies))
             cells = zip(*rows, strict=True) if rows else [()] * 6
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
@@ -207,14 +253,14 @@ def _count_windows(border: DataFrame, depth: int) -> DataFrame:
 # -- documents --------------------------------------------------------------
 
 
-def _all_runs(keyed: DataFrame, depth: int) -> DataFrame:
+def _all_runs(keyed: DataFrame, unit: Unit) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows = []
             for k, text in enumerate(batch.column(2).to_pylist()):
-                data = (text or "").encode()
-                for ahash, anchor, start, count in runs(data, depth):
-                    rows.append((k, ahash, _content(data, anchor, start, count, depth)[0], start, count))
+                data = unit.read(text)
+                for ahash, anchor, start, count in runs(data, unit):
+                    rows.append((k, ahash, _content(data, anchor, start, count, unit.depth)[0], start, count))
             cells = list(zip(*rows, strict=True)) if rows else [()] * 5
             at = pa.array(cells[0], pa.int32())
             yield record(
@@ -230,7 +276,7 @@ def _all_runs(keyed: DataFrame, depth: int) -> DataFrame:
 _BORDER = "ahash long, rhash long, place int, windows int, copies long, content binary"
 
 
-def _border_runs(keyed: DataFrame, found: DataFrame, mixed: DataFrame, depth: int) -> DataFrame:
+def _border_runs(keyed: DataFrame, found: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
     """The runs of `mixed` anchors with their bytes, once for each distinct run of a batch or task."""
 
     def emit(texts: Iterator[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -247,13 +293,13 @@ def _border_runs(keyed: DataFrame, found: DataFrame, mixed: DataFrame, depth: in
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=names)
 
         for text, wanted in texts:
-            data = text.encode()
-            own = list(runs(data, depth))
+            data = unit.read(text)
+            own = list(runs(data, unit))
             at = np.array([r[0] for r in own], np.int64)
             there = np.minimum(np.searchsorted(wanted, at), max(0, len(wanted) - 1))
             for k in np.flatnonzero(wanted[there] == at) if len(wanted) else ():
                 ahash, anchor, start, count = own[k]
-                rhash, content = _content(data, anchor, start, count, depth)
+                rhash, content = _content(data, anchor, start, count, unit.depth)
                 known = held.get((ahash, rhash))
                 if known:
                     known[2] += 1
@@ -283,17 +329,17 @@ def _border_runs(keyed: DataFrame, found: DataFrame, mixed: DataFrame, depth: in
     return keyed.join(lists, ["doc_key", "row_key"]).select("text", "wanted").mapInArrow(joined, _BORDER)
 
 
-def _spans(keyed: DataFrame, depth: int, crowded: int) -> DataFrame:
+def _spans(keyed: DataFrame, unit: Unit, crowded: int) -> DataFrame:
     """(doc_key, row_key, spans array<struct<start, windows>>) of rows with repeated windows."""
-    found = written(_all_runs(keyed, depth), "runs")
+    found = written(_all_runs(keyed, unit), "runs")
     groups = found.groupBy("ahash").agg(F.count(F.lit(1)).alias("n"), F.min("rhash").alias("r0"), F.max("rhash").alias("r1"))
     groups = written(groups.where("n > 1").select("ahash", (F.col("r0") == F.col("r1")).alias("same")), "anchors")
     mixed = groups.where("not same")
-    border = written(_border_runs(keyed, found, mixed, depth), "border-runs")
+    border = written(_border_runs(keyed, found, mixed, unit), "border-runs")
     crowds = written(border.groupBy("ahash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("ahash"), "crowds")
-    hits = _sort_runs(border.join(F.broadcast(crowds) if crowds.count() < 100_000 else crowds, "ahash", "left_anti"), depth)
+    hits = _sort_runs(border.join(F.broadcast(crowds) if crowds.count() < 100_000 else crowds, "ahash", "left_anti"), unit)
     if not crowds.isEmpty():
-        hits = hits.unionByName(_count_windows(border.join(crowds, "ahash", "left_semi"), depth))
+        hits = hits.unionByName(_count_windows(border.join(crowds, "ahash", "left_semi"), unit))
     hits = written(hits, "repeated")
     if groups.limit(SENT_ANCHORS + 1).count() <= SENT_ANCHORS and hits.limit(SENT_ANCHORS + 1).count() <= SENT_ANCHORS:
         spans = _looked_up(found, groups, hits)
@@ -352,9 +398,9 @@ def _looked_up(found: DataFrame, groups: DataFrame, hits: DataFrame) -> DataFram
     return found.groupBy("doc_key", "row_key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
 
 
-def _with_spans(docs: DataFrame, depth: int, crowded: int) -> DataFrame:
+def _with_spans(docs: DataFrame, unit: Unit, crowded: int) -> DataFrame:
     """The rows of `docs` and a column _spans."""
-    spans = _spans(_keyed(docs.select("doc_id", "text")), depth, crowded).withColumnsRenamed({"doc_key": "_doc", "row_key": "_row", "spans": "_spans"})
+    spans = _spans(_keyed(docs.select("doc_id", "text")), unit, crowded).withColumnsRenamed({"doc_key": "_doc", "row_key": "_row", "spans": "_spans"})
     # texts move only if the lists of spans, counted by their members, are too long to be sent to every executor
     few = (spans.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= SENT_ROWS
     own = docs.withColumns({"_d": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "_r": F.xxhash64("doc_id", "text")})
@@ -362,7 +408,7 @@ def _with_spans(docs: DataFrame, depth: int, crowded: int) -> DataFrame:
 
 
 def removed_runs(spans: list[dict] | None, depth: int = DEPTH) -> list[tuple[int, int]]:
-    """Maximal removed byte ranges from repeated windows."""
+    """Maximal removed ranges from repeated windows."""
     out: list[tuple[int, int]] = []
     for first, end in sorted((s["first"], s["first"] + s["windows"] + depth - 1) for s in spans or ()):
         if out and first <= out[-1][1]:
@@ -372,34 +418,40 @@ def removed_runs(spans: list[dict] | None, depth: int = DEPTH) -> list[tuple[int
     return out
 
 
+def _gone(text: str | None, spans: list[dict] | None, unit: Unit) -> list[tuple[int, int]]:
+    """Removed ranges of a text's bytes."""
+    return unit.in_bytes((text or "").encode(), removed_runs(spans, unit.depth))
+
+
 def _kept(data: bytes, gone: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for run in gone for x in run), len(data)]
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, crowded: int = CROWDED) -> DataFrame:
+def repeated_spans(docs: DataFrame, unit: Unit = BYTES, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, text, spans array<struct<start, end>>): removed byte ranges of every row."""
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            gone = [[{"start": a, "end": b} for a, b in removed_runs(s, depth)] for s in batch.column(2).to_pylist()]
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            gone = [[{"start": a, "end": b} for a, b in _gone(t, s, unit)] for t, s in rows]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield record(doc_id=batch.column(0), text=batch.column(1), spans=pa.array(gone, kind))
 
         return step
 
-    own = _with_spans(docs.select("doc_id", "text"), depth, crowded)
+    own = _with_spans(docs.select("doc_id", "text"), unit, crowded)
     return map_rows(own.select("doc_id", "text", "_spans"), make, "doc_id long, text string, spans array<struct<start: long, end: long>>")
 
 
-def without_repeats(docs: DataFrame, depth: int = DEPTH, crowded: int = CROWDED) -> DataFrame:
-    """The rows and columns of `docs`, their texts without the repeated bytes; n_chars, if there, follows."""
+def without_repeats(docs: DataFrame, unit: Unit = BYTES, crowded: int = CROWDED) -> DataFrame:
+    """The rows and columns of `docs`, their texts without the repeated units; n_chars, if there, follows."""
     names = docs.columns
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = [
-                _kept(t.encode(), removed_runs(s, depth)).decode("utf-8", "ignore") if s else t
+                _kept(t.encode(), _gone(t, s, unit)).decode("utf-8", "ignore") if s else t
                 for t, s in zip(batch.column(names.index("text")).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)
             ]
             cells = batch.columns[: len(names)]
@@ -410,7 +462,7 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, crowded: int = CROWDED)
 
         return step
 
-    return map_rows(_with_spans(docs, depth, crowded).select(*names, "_spans"), make, docs.schema)
+    return map_rows(_with_spans(docs, unit, crowded).select(*names, "_spans"), make, docs.schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,5 +477,5 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return step
 
-    own = _with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), DEPTH, CROWDED)
+    own = _with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTES, CROWDED)
     return map_rows(own.select("doc_id", "text", "_spans"), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from provenant.llm import suffixes
@@ -58,13 +59,48 @@ def test_equals_brute_force(spark, crowded, monkeypatch):
 
 def test_blocks_of_a_very_long_text():
     r = random.Random(3)
-    data = bytes(r.choices(b"abcdef", k=5000))
+    data = np.frombuffer(bytes(r.choices(b"abcdef", k=5000)), np.uint8)
     whole = list(suffixes.runs(data))
     parts = list(suffixes.runs(data, block=700))
     cover = lambda rs: [(a, p) for a, p, s, n in rs for _ in range(n)]
     assert cover(whole) == cover(parts)
 
 
+def brute_words(texts, depth):
+    """Which words of each text a repeated stretch of `depth` words covers."""
+    words = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(w[i : i + depth]) for w in words for i in range(len(w) - depth + 1))
+    gone = [[False] * len(w) for w in words]
+    for w, g in zip(words, gone, strict=True):
+        for i in range(len(w) - depth + 1):
+            if seen[tuple(w[i : i + depth])] > 1:
+                g[i : i + depth] = [True] * depth
+    return [[x.decode() for x, y in zip(w, g, strict=True) if not y] for w, g in zip(words, gone, strict=True)]
+
+
+@pytest.mark.parametrize("crowded", [suffixes.CROWDED, 1])
+def test_words_equal_brute_force(spark, crowded, monkeypatch):
+    if crowded == 1:
+        monkeypatch.setattr(suffixes, "SENT_ANCHORS", 0)
+        monkeypatch.setattr(suffixes, "SENT_ROWS", 0)
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcé", k=r.randint(1, 4)))
+    words = lambda n: [word() for _ in range(n)]
+    space = lambda: r.choice([" ", "\n", "\t ", "\x0b"])
+    passages = [words(n) for n in (49, 50, 51, 55, 60, 200)]
+    assert all(len(" ".join(p)) < 400 for p in passages[:5])
+    texts = [None, "", "a " * 49, "b " * 120, "\x1c".join(words(70))]
+    for _ in range(80):
+        parts = words(r.randint(0, 90))
+        for _ in range(r.randint(0, 3)):
+            parts += r.choice(passages) + words(r.randint(0, 40))
+        texts.append("".join(w + space() for w in parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {g.doc_id: [w.decode() for w in (g.text or "").encode().split()] for g in suffixes.without_repeats(docs, suffixes.WORDS, crowded).collect()}
+    want = brute_words(texts, 50)
+    assert got == dict(enumerate(want)) and sum(map(len, want)) < sum(len((t or "").split()) for t in texts) - 5000
+
+
 def test_repeated_rows_and_kept_columns(spark):
     r = random.Random(2)
     long = "".join(r.choices("abcdefgh é", k=900))
