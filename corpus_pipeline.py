@@ -32,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of 400-byte strings that occur twice."""
-    return suffixes.without_repeats(docs)
+    """All documents, without the words of stretches of 50 words that occur twice."""
+    return suffixes.without_repeats(docs, suffixes.WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
