@@ -1,12 +1,15 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame operations only.
 
 A text is cut where its content says so, so equal stretches of different texts give equal
-chunks.  Each distinct chunk is moved once: texts are cut on the map side and equal chunks
-of a task meet before the shuffle.  A chunk's identifier is its 64-bit hash once the
-shuffle has shown that no other chunk has that hash; chunks that do share one get, besides,
-their rank among the chunks of that hash.  So equal identifiers mean equal bytes.  A text
-is then its recipe, the ordered list of identifiers, and texts are compared by recipes; the
-texts themselves are never moved.
+chunks.  A text's recipe is the ordered list of its chunks' identifiers, and texts are
+compared by recipes; the texts themselves are never moved.  A chunk's identifier is its
+64-bit hash once that is verified: a hash that occurs once names its chunk anyhow, and
+only the chunks of repeated hashes are moved, once for each distinct chunk of a task, to
+see whether they are equal.  Chunks that do share a hash get, besides, their rank among the
+chunks of that hash.  So equal identifiers mean equal bytes.
+
+Rows find their group through the list of groups of two rows and more.  It is sent to every
+executor if measured small; else the largest groups are, and the others meet by a shuffle.
 
 Decided cases: a null text counts as empty; empty texts have the empty recipe and are
 equal to each other; rows that repeat a doc_id are rows of their own (all stay or all go);
@@ -23,9 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: A chunk has 512 characters at least, then goes to the next space before a letter of the
-#: first part of the alphabet, or has 4096 characters.
-CHUNK = r"(?s).{512,4096}?(?<=[ \n])(?=[\p{Lu}a-h])|.{1,4096}"
+#: A chunk has 256 characters at least, then goes on to the next word that begins with b to f behind
+#: one that ends in d, g, l or r (about one word in thirty of English), or has 4096 characters.
+CHUNK = r"(?s).{256,4096}?(?<=[dglr][ \n])(?=[b-f])|.{1,4096}"
+#: Identifiers in the recipes of all groups, or hashes, up to which every executor gets them: 16 MB.
+SENT_IDS = 2_000_000
+#: Rows of a group from which on it is hot, and not shuffled to one task.
+HOT_ROWS = 500
 
 
 def normalised(text: Column) -> Column:
@@ -33,21 +40,31 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def _chunks() -> Column:
+    return F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0))
+
+
+def _shared(norm: DataFrame, recipes: DataFrame, hash_of: Callable[[str], Column]) -> tuple[DataFrame, DataFrame]:
+    """(h, chunk) of the distinct chunks with a repeated hash, and the hashes (h) that several of them have."""
+    ids = recipes.select(F.explode(F.slice("recipe", 2, F.lit((1 << 31) - 1))).alias("h"))
+    again = written(ids.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-hashes")
+    small = again.limit(SENT_IDS + 1).count() <= SENT_IDS
+    chunks = norm.select(F.explode(_chunks()).alias("chunk")).select(hash_of("chunk").alias("h"), "chunk")
+    held = chunks.join(F.broadcast(again) if small else again, "h", "left_semi")
+    distinct = held.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("copies")).select("h", "chunk")
+    shared = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    return distinct, written(shared, "shared-hashes")
+
+
 def _recipes(norm: DataFrame, hash_of: Callable[[str], Column] = F.xxhash64) -> DataFrame:
     """Adds `recipe` to (doc_id, norm, ...): the number of chunks, their hashes, and the ranks that some need."""
-    chunks = F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0))
-    distinct = (
-        norm.select(F.explode(chunks).alias("chunk"))
-        .groupBy(hash_of("chunk").alias("h"), "chunk")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    shared = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    shared = written(shared, "shared-hashes")
-    hashed = norm.withColumn("recipe", F.transform(chunks, lambda c: hash_of(c)))
+    hashed = norm.withColumn("recipe", F.transform(_chunks(), lambda c: hash_of(c)))
     hashed = hashed.withColumn("recipe", F.concat(F.array(F.size("recipe").cast("long")), "recipe"))
+    recipes = written(hashed.drop("norm"), "recipes")
+    distinct, shared = _shared(norm, recipes, hash_of)
     if shared.isEmpty():
-        return hashed.drop("norm")
-    return _told_apart(hashed, distinct, shared, chunks, hash_of).drop("norm")
+        return recipes
+    return written(_told_apart(hashed, distinct, shared, _chunks(), hash_of).drop("norm"), "recipes")
 
 
 def _told_apart(
@@ -80,13 +97,27 @@ def exact_duplicates(docs: DataFrame, hash_of: Callable[[str], Column] = F.xxhas
     `hash_of` gives the chunks' 64-bit hash; any function is right, a poor one is slow.
     """
     norm = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
-    recipes = written(_recipes(norm, hash_of), "recipes")
-    groups = recipes.groupBy("recipe").agg(
-        F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
-    )
-    return recipes.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    recipes = _recipes(norm, hash_of)
+    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups.where("group_size > 1"), "exact-groups")
+    if _ids(groups) <= SENT_IDS:
+        found = recipes.join(F.broadcast(groups), "recipe", "left")
+    else:
+        hot = groups.where(F.col("group_size") > HOT_ROWS)
+        hot = F.broadcast(hot) if _ids(hot) <= SENT_IDS else hot
+        rest = groups.where(F.col("group_size") <= HOT_ROWS)
+        found = recipes.join(hot, "recipe").unionByName(recipes.join(hot, "recipe", "left_anti").join(rest, "recipe", "left"))
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256",
+    )
+
+
+def _ids(groups: DataFrame) -> int:
+    """Identifiers in the recipes of `groups`."""
+    return groups.agg(F.sum(F.size("recipe"))).first()[0] or 0
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

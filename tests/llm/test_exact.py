@@ -1,8 +1,10 @@
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from provenant.llm import exact
 from provenant.llm.exact import exact_duplicates
 
 LONG = "Some words here And there are more of them. " * 400
@@ -39,5 +41,24 @@ def test_chunks_that_share_a_hash_are_told_apart(spark):
     assert got(exact_duplicates(docs, lambda c: F.lit(1).cast("long"))) == brute(TEXTS)
 
 
+@pytest.mark.parametrize(("sent", "hot"), [(0, 1), (0, 100), (4, 2)])
+def test_groups_too_many_to_be_sent(spark, monkeypatch, sent, hot):
+    monkeypatch.setattr(exact, "SENT_IDS", sent)
+    monkeypatch.setattr(exact, "HOT_ROWS", hot)
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    assert got(exact_duplicates(docs)) == brute(TEXTS)
+    assert got(exact_duplicates(docs, lambda c: F.length(c).cast("long"))) == brute(TEXTS)
+
+
+def test_cuts_follow_the_content(spark):
+    """An insertion changes the chunks around it only."""
+    text = " ".join(f"{w} number {k} is a word" for k, w in enumerate(["red", "blue", "long", "dull", "clear", "far"] * 800))
+    other = text[:3000] + "something else" + text[3000:]
+    rows = spark.createDataFrame([(1, text), (2, other)], "doc_id long, norm string").select(exact._chunks().alias("c")).collect()
+    a, b = (r.c for r in rows)
+    assert "".join(a) == text and "".join(b) == other
+    assert len(set(a) & set(b)) > 0.9 * len(a) > 100
+
+
 def test_empty_table(spark):
     assert exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
