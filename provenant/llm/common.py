@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new one where the session names none."""
+    """The folder that driver and executors share; where the session names none, a local master may use its own."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("provenant.test.checkpoint.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="provenant-")
@@ -114,31 +116,48 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """Adds _doc (the id; a null one is last) and _row (equal for rows of equal id and text)."""
-    return docs.withColumns({
-        "_doc": F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "_row": F.xxhash64("doc_id", "text"),
-    })
+#: Rows of one key from which on it is hot: they are not shuffled to one task.
+HOT_ROWS = 1_000
 
 
-def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their group, one row of each group.
+def join_narrow(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`left` joined with `right`, a written table of narrow rows, unique in `key`; both are read several times.
 
-    `groups` has (_row, group).  Only keys are compared; texts move only if the list of
-    what goes is too long to be sent to every executor.
+    Sent to every executor if counted small.  Else the rows of `right` for hot keys are, of which
+    there are at most one for HOT_ROWS rows of `left`, and the others meet by a shuffle.
     """
-    keyed = row_keys(docs)
-    keys = written(keyed.select("_row", "_doc"), "row-keys")
-    member = written(groups.select("_row", "group").distinct(), "row-groups")
-    many = member.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
-    held = member.join(many, "group").join(keys.distinct(), "_row")
-    first = held.groupBy("group").agg(F.min(F.struct("_doc", "_row")).alias("first"))
-    gone = held.join(first, "group").where(F.col("_row") != F.col("first._row")).select("_row").distinct()
-    gone = written(gone, "row-gone")
-    again = written(keys.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row"), "row-again")
-    left = keyed.join(sent_if_small(gone), "_row", "left_anti")
-    if not again.isEmpty():
-        again = sent_if_small(again)
-        once = left.join(again, "_row", "left_semi").dropDuplicates(["_row"])
-        left = left.join(again, "_row", "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+    if right.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(key)
+    hot = written(hot, "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot = sent_if_small(hot)
+    few = sent_if_small(right.join(hot, key, "left_semi"))
+    plain = left.join(hot, key, "left_anti").join(right, key, how)
+    return left.join(hot, key, "left_semi").join(few, key, how).unionByName(plain)
+
+
+#: The column that tells rows apart, whatever they hold.
+ROW = "_row_of_documents"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs`, written, with a number for each row in ROW; repeated rows have numbers of their own."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def keep_first(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each group, the row of the smallest doc_id (a null one is last; of equal ids, the first row).
+
+    `rows` is `numbered`, `groups` has (ROW, group) for each.  Only numbers are compared; texts
+    move only if the list of what goes is too long to be sent to every executor.  An empty
+    table stays empty.
+    """
+    groups = written(groups.select(ROW, "group"), "row-groups")
+    many = written(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group"), "row-many")
+    doc = rows.select(ROW, F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"))
+    held = written(join_narrow(groups, many, "group").join(doc, ROW), "row-held")
+    first = written(held.groupBy("group").agg(F.min(F.struct("doc", ROW)).alias("first")), "row-first")
+    gone = written(join_narrow(held, first, "group").where(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW), "row-gone")
+    return rows.join(sent_if_small(gone), ROW, "left_anti").drop(ROW)

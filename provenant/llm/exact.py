@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import ROW, keep_first, numbered, table, written
 
 #: A chunk has 256 characters at least, then goes on to the next word that begins with b to f behind
 #: one that ends in d, g, l or r (about one word in thirty of English), or has 4096 characters.
@@ -120,6 +120,16 @@ def _ids(groups: DataFrame) -> int:
     return groups.agg(F.sum(F.size("recipe"))).first()[0] or 0
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows and columns of `docs`; of texts that are equal but for white space, the row of the smallest doc_id.
+
+    Null and empty texts are equal; of repeated rows one stays; a null doc_id is last; an empty table stays empty.
+    """
+    rows = numbered(docs)
+    found = exact_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    return keep_first(rows, found.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 

@@ -23,7 +23,7 @@ columns are left out by `near_duplicates`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_caches, map_rows, record, table, whole_groups, written
+from .common import ROW, drop_caches, join_narrow, keep_first, map_rows, numbered, record, sent_if_small, table, whole_groups, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -144,12 +144,16 @@ def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return [(int(values[a]), int(values[b])) for a, b in forest_rows(values, radius)]
 
 
-def forest_rows(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of row numbers that join all rows linked within `radius`: about one for each row, never all pairs."""
+#: Of rows a and rows b, which pairs may be linked.
+Fit = Callable[[np.ndarray, np.ndarray], np.ndarray] | None
+
+
+def forest_rows(values: np.ndarray, radius: int, fit: Fit = None) -> list[tuple[int, int]]:
+    """Pairs of row numbers that join all rows linked within `radius`, if they `fit`: about one for each row, never all pairs."""
     if len(values) < 2:
         return []
     if len(values) < 33:  # planes don't pay for few rows
-        return _small_forest(values, radius)
+        return _small_forest(values, radius, fit)
     planes, edges, seed = BitPlanes(values), [], 0
     while True:
         # not reached: compared with each other, too
@@ -159,16 +163,19 @@ def forest_rows(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         seed = int(queries[-1]) + 1
         who, rows = planes.within(values[queries], radius)
         at = queries[who]
-        at, rows = at[at != rows], rows[at != rows]
+        good = at != rows
+        if fit:
+            good[good] = fit(at[good], rows[good])
+        at, rows = at[good], rows[good]
         linked = np.unique(at)
         planes.live[np.setdiff1d(queries, linked)] = False
         for first in linked.tolist():
             if planes.live[first]:
                 planes.live[first] = False
-                edges += _grow(planes, values, first, rows[at == first], radius)
+                edges += _grow(planes, values, first, rows[at == first], radius, fit)
 
 
-def _grow(planes: BitPlanes, values: np.ndarray, first: int, near: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _grow(planes: BitPlanes, values: np.ndarray, first: int, near: np.ndarray, radius: int, fit: Fit) -> list[tuple[int, int]]:
     """Edges of one row's component, taken from the live rows; `near` has the rows within the radius of `first`.
 
     One component at a time: what is reached leaves the planes, as rows of one component need not be
@@ -195,11 +202,17 @@ def _grow(planes: BitPlanes, values: np.ndarray, first: int, near: np.ndarray, r
         else:
             who, rows = planes.within(values[queries], radius)
             who = queries[who]
+        if fit and len(rows):
+            good = fit(who, rows)
+            who, rows = who[good], rows[good]
 
 
-def _small_forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _small_forest(values: np.ndarray, radius: int, fit: Fit = None) -> list[tuple[int, int]]:
     rows = values.reshape(len(values), -1)
     near = np.bitwise_count(rows[:, None] ^ rows[None]).sum(2) <= radius
+    if fit:
+        a, b = np.nonzero(near)
+        near[a, b] = fit(a, b)
     left, edges = np.ones(len(values), np.bool_), []
     for seed in range(len(values)):
         if not left[seed]:
@@ -319,20 +332,20 @@ def components(edges: DataFrame) -> DataFrame:
         k += 1
         roots = _jumped(roots, k)
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
-        mapped = open_edges.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root")
+        mapped = join_narrow(join_narrow(open_edges, of("a"), "a"), of("b"), "b").where("a_root <> b_root")
         open_edges = written(mapped.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), f"cc-edges-{k}")
         if open_edges.isEmpty():
             return roots
-        hooks = open_edges.groupBy(F.col("b").alias("old")).agg(F.min("a").alias("new"))
-        hooked = roots.join(hooks, roots["root"] == hooks["old"], "left")
+        hooks = written(open_edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("new")), f"cc-hooks-{k}")
+        hooked = join_narrow(roots, hooks, "root", "left")
         roots = written(hooked.select("node", F.coalesce("new", "root").alias("root")), f"cc-{k}")
 
 
 def _jumped(roots: DataFrame, k: int) -> DataFrame:
     """Every pointer followed to its end."""
     while True:
-        up = roots.select(F.col("node").alias("via"), F.col("root").alias("above"))
-        moved = roots.join(up, roots["root"] == up["via"], "left")
+        up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        moved = join_narrow(roots, up, "root", "left")
         moved = moved.select("node", F.coalesce("above", "root").alias("next"), "root")
         moved = written(moved, f"cc-jump-{k}")
         roots = moved.select("node", F.col("next").alias("root"))
@@ -343,99 +356,69 @@ def _jumped(roots: DataFrame, k: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of `docs`."""
     fps = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     edges = written(links(distinct.select("fp"), radius), "simhash-edges")
     roots = components(edges)
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(classes.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp").select(
-        "doc_id", "fp", "component_id"
-    )
+    classes = written(classes, "simhash-classes")
+    names = written(classes.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-names")
+    named = written(join_narrow(classes.select("fp", "root"), names, "root").select("fp", "component_id"), "simhash-named")
+    return join_narrow(fps, named, "fp").select("doc_id", "fp", "component_id")
 
 
 # -- near copies of a given similarity ------------------------------------------
 
 WORDS, SIMILARITY = 5, 0.8
-#: Of 128 bits, how many pairs of that similarity and above differ in at most, but for about one in thirty at its very edge.
+#: Of 128 bits, how many all but about one in a hundred pairs of that similarity and above differ in at most.
 WIDE_RADIUS = 27
-#: Chance that a pair of the similarity shares no bucket, were buckets independent; `similar_duplicates` finds the rest.
-MISSED = 0.01
+#: Bits of a set's parities; two sets differ in at least as many members as their parities in bits.
+PARITIES = 256
+_PARITY = [f"p{k}" for k in range(PARITIES // 64)]
+#: Texts of one bucket from which on it is split, and its member put last in the order of members.
+CROWD = 8_192
+#: Members put last at most, the most frequent ones: 4 MB for each executor.
+LATE = 500_000
+#: Times that members are put last, at most; more would only save time.
+_ROUNDS = 3
+#: Pairs of one text whose sets meet in one task.
+PAIRS_TOGETHER = 500
 
 
-def wide_fingerprint(text: str, shingle: int = WORDS) -> bytes:
-    """128 majority bits of the distinct shingles' 128-bit hashes; 16 bytes."""
+def shingle_hashes(text: str, shingle: int = WORDS) -> np.ndarray:
+    """128-bit hashes of a text's distinct shingles, a row each, in order of the first word's upper 63 bits.
+
+    These 63 bits tell shingles apart; where there are no words, one empty shingle.
+    """
     words = text.encode().translate(_LOWER).split()
-    if not words:
-        return bytes(16)
     joined, digest = b" ".join(words), xxhash.xxh3_128_digest
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
     starts = [0, *(e + 1 for e in ends[: max(0, len(words) - shingle)])]
-    hashes = list({digest(joined[a:b]) for a, b in zip(starts, ends[shingle - 1 :] or ends[-1:], strict=True)})
-    ones = np.zeros(128, np.int64)
-    for at in range(0, len(hashes), 4096):
-        part = np.frombuffer(b"".join(hashes[at : at + 4096]), np.uint8).reshape(-1, 16)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+    each = [digest(joined[a:b]) for a, b in zip(starts, ends[shingle - 1 :] or [len(joined)], strict=True)]
+    rows = np.frombuffer(b"".join(each), "<u8").reshape(-1, 2)
+    return rows[np.unique(rows[:, 0] >> np.uint64(1), return_index=True)[1]]
 
 
-def _tables(count: int) -> list[tuple[int, int]]:
-    """Masks of random bits of both words: so many bits that buckets stay small, so many tables that few pairs meet in none."""
-    bits = max(16, count.bit_length() - 2)
-    same = (1 - np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi) ** bits
-    tables = int(np.ceil(np.log(MISSED) / np.log1p(-same)))
-    random = np.random.default_rng(128)
-    out = []
-    for _ in range(tables):
-        own = random.choice(128, bits, replace=False).tolist()
-        out.append((_signed(_mask([b for b in own if b < 64])), _signed(_mask([b - 64 for b in own if b >= 64]))))
-    return out
+def _members(hashes: np.ndarray) -> np.ndarray:
+    return (hashes[:, 0] >> np.uint64(1)).astype(np.int64)
 
 
-def wide_links(nodes: DataFrame, count: int, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(a, b) edges between rows of (node, lo, hi) that join near all within the radius."""
-    masks = [F.struct(F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, (lo, hi) in enumerate(_tables(count))]
-    keys = F.transform(F.array(*masks), lambda m: F.xxhash64(m["k"], F.col("lo").bitwiseAND(m["lo"]), F.col("hi").bitwiseAND(m["hi"])))
-    rows = nodes.select(F.explode(keys).alias("bucket"), "node", "lo", "hi")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
-        for whole in whole_groups(batches, "bucket"):
-            bucket, node, lo, hi = (whole.column(c).to_numpy() for c in ("bucket", "node", "lo", "hi"))
-            values = np.stack([lo, hi], 1).view(np.uint64)
-            begin = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
-            size = np.diff(np.append(begin, len(bucket)))
-            left = np.repeat(begin + size, size) - np.arange(len(bucket))  # rows of the bucket from here on
-            few = np.repeat(size <= 8, size)
-            pairs = []
-            for lag in range(1, 8):
-                at = np.flatnonzero(few & (left > lag))
-                at = at[np.bitwise_count(values[at] ^ values[at + lag]).sum(1) <= radius]
-                pairs.append(np.stack([node[at], node[at + lag]], 1))
-            for k, n in zip(begin[size > 8].tolist(), size[size > 8].tolist(), strict=True):
-                found = np.array(forest_rows(values[k : k + n], radius), np.int64).reshape(-1, 2)
-                pairs.append(node[k : k + n][found])
-            edges = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
-            yield record(a=pa.array(edges[:, 0]), b=pa.array(edges[:, 1]))
-
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a long, b long").distinct()
-
+def shingle_set(text: str, shingle: int = WORDS) -> np.ndarray:
+    """Sorted distinct 63-bit hashes of a text's shingles."""
+    return _members(shingle_hashes(text, shingle))
 
-# -- links of the similarity, none lost ---------------------------------------
 
-#: Bits of a set's parities; two sets differ in at least as many members as their parities in bits.
-PARITIES = 256
-_PARITY = [f"p{k}" for k in range(PARITIES // 64)]
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """128 bits as two words: those that over half of the hashes have."""
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), 4096):
+        part = np.ascontiguousarray(hashes[at : at + 4096]).view(np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
 
 
-def shingle_set(text: str, shingle: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; of one empty shingle where there are no words."""
-    words = text.encode().translate(_LOWER).split()
-    joined, digest = b" ".join(words), xxhash.xxh3_64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(joined)], np.uint64)
-    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
-    starts = [0, *(e + 1 for e in ends[: len(words) - shingle])]
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], np.uint64))
+def _parities(members: np.ndarray) -> np.ndarray:
+    odd = np.bincount(members % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -444,67 +427,61 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _parities(hashes: np.ndarray) -> np.ndarray:
-    odd = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi, k0, k1, n, p0.., prefix): fingerprint, the set's own hash, size, parities and smallest members.
-
-    `prefix` has so many members that sets of the similarity share one of them.
-    """
+def described(rows: DataFrame) -> DataFrame:
+    """(row, lo, hi, k0, k1, n, p0..) of (row, text): fingerprint, the set's own hash, size and parities."""
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            words = np.frombuffer(b"".join(map(wide_fingerprint, texts)), np.int64).reshape(-1, 2)
-            sets = [shingle_set(t) for t in texts]
+            hashes = [shingle_hashes(t or "") for t in batch.column(1).to_pylist()]
+            sets = [_members(x) for x in hashes]
+            bits = np.stack([_majority(x) for x in hashes])
             own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
-            size = np.array([len(x) for x in sets], np.int64)
             odd = np.stack([_parities(x) for x in sets])
-            first = size - (4 * size + 4) // 5 + 1
-            members = np.concatenate([x[:k] for x, k in zip(sets, first.tolist(), strict=True)]).view(np.int64)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(members))
             parities = {c: pa.array(odd[:, k]) for k, c in enumerate(_PARITY)}
             yield record(
-                doc_id=batch.column(0), lo=pa.array(words[:, 0]), hi=pa.array(words[:, 1]), k0=pa.array(own[:, 0]), k1=pa.array(own[:, 1]),
-                n=pa.array(size), **parities, prefix=prefix,
+                row=batch.column(0), lo=pa.array(bits[:, 0]), hi=pa.array(bits[:, 1]), k0=pa.array(own[:, 0]), k1=pa.array(own[:, 1]),
+                n=pa.array([len(x) for x in sets], pa.int64()), **parities,
             )
 
         return step
 
-    columns = ", ".join(f"{c} long" for c in ("doc_id", "lo", "hi", "k0", "k1", "n", *_PARITY))
-    return map_rows(docs.select("doc_id", "text"), make, f"{columns}, prefix array<long>")
+    return map_rows(rows, make, ", ".join(f"{c} long" for c in ("row", "lo", "hi", "k0", "k1", "n", *_PARITY)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of `docs` whose texts have the similarity, written."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def prefix_length(n: int) -> int:
+    """So many of the first of n members that a set of the similarity has one of its own first ones among them."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def prefixes(texts: DataFrame, late: np.ndarray) -> DataFrame:
+    """(node, top, members) of (node, text): the first members in the order of hashes, those in `late` behind all others.
+
+    `top` is the last one's place in that order.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(late)
 
     def make():
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            sets = [shingle_set(t or "").tobytes() for t in batch.column(1).to_pylist()]
-            yield record(node=batch.column(0), members=pa.array(sets, pa.binary()))
+        late = sent.value
 
-        return step
+        def first(members: np.ndarray) -> tuple[int, np.ndarray]:
+            k, early = prefix_length(len(members)), len(members)
+            if len(late):
+                hot = late[np.minimum(np.searchsorted(late, members), len(late) - 1)] == members
+                early -= int(hot.sum())
+                members = np.concatenate([members[~hot], members[hot]])
+            return int(members[k - 1]) - ((1 << 63) if k <= early else 0), members[:k]
 
-    def check():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            sets = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (2, 3)]
-            good = pa.array([similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
+            top, own = zip(*(first(shingle_set(t or "")) for t in batch.column(1).to_pylist()), strict=True)
+            bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]), pa.int32())
+            yield record(node=batch.column(0), top=pa.array(top, pa.int64()), members=pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(own))))
 
         return step
 
-    texts = docs.select("doc_id", "text").join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(map_rows(texts, make, "node long, members binary"), "similar-sets")
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_members"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_members", "b_members")
-    return written(map_rows(both, check, "a long, b long"), "similar-links")
+    return map_rows(texts, make, "node long, top long, members array<long>")
 
 
-def shared_members(rows: DataFrame) -> DataFrame:
+def shared_members(members: DataFrame) -> DataFrame:
     """Of (h, node), those whose h has several rows."""
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -514,56 +491,228 @@ def shared_members(rows: DataFrame) -> DataFrame:
             same = np.concatenate([[False], h[1:] == h[:-1], [False]])
             yield from whole.filter(pa.array(same[1:] | same[:-1])).to_batches()
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(several, "h long, node long")
+    return members.repartition("h").sortWithinPartitions("h").mapInArrow(several, "h long, node long")
 
 
-def open_pairs(held: DataFrame, lags: int | None = None) -> DataFrame:
-    """(a, b) of (h, node, root, n, p0..) that share an h, are of two components and may have the similarity.
+def shared_prefixes(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, top, members), (h, node) of shared members, and (h, n) of those that over CROWD texts share.
 
-    Sizes and parities rule out only what can't have it.  `lags`: only of rows so near each other in order of size.
+    Any one order of members loses no pair.  Members that very many texts share are put last,
+    so they count for those texts only that consist of such members by four parts in five.
+    """
+    late, before = np.zeros(0, np.int64), None
+    for k in range(_ROUNDS + 1):
+        lists = written(prefixes(texts, late), "similar-prefixes")
+        shared = written(shared_members(lists.select(F.explode("members").alias("h"), "node")), "similar-shared")
+        crowds = written(shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "similar-crowds")
+        rows = crowds.agg(F.sum("n")).first()[0] or 0
+        if k == _ROUNDS or not rows or before is not None and 2 * rows > before:
+            break
+        hot = crowds.orderBy(F.desc("n"), "h").limit(max(0, LATE - len(late))).select("h").toPandas()["h"].to_numpy(np.int64)
+        if not len(np.setdiff1d(hot, late)):
+            break
+        late, before = np.union1d(late, hot), rows
+    return lists, shared, crowds
+
+
+class _Facts:
+    """What is known of the rows of a bucket table: whether two can have the similarity at all."""
+
+    def __init__(self, whole: pa.Table):
+        self.n = whole.column("n").to_numpy()
+        self.odd = np.stack([whole.column(c).to_numpy() for c in _PARITY], 1).view(np.uint64)  # popcount takes signed numbers without their sign
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, m = self.n[a], self.n[b]
+        return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.bitwise_count(self.odd[a] ^ self.odd[b]).sum(1, dtype=np.int64) <= n + m)
+
+
+def wide_links(held: DataFrame, crowds: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(a, b) edges between rows of (h, node, lo, hi, n, p0..) that share an h, and join near all of one bucket within the radius.
+
+    A crowded bucket is grown in blocks.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_caches()
-        for whole in whole_groups(batches, "h"):
-            h, node, root, n = (whole.column(c).to_numpy() for c in ("h", "node", "root", "n"))
-            odd = np.stack([whole.column(c).to_numpy() for c in _PARITY], 1).view(np.uint64)  # popcount takes signed numbers without their sign
-            left = np.searchsorted(h, h, "right") - np.arange(len(h))
-            pairs, at = [np.zeros((0, 2), np.int64)], np.arange(len(h))
-            for lag in range(1, min(int(left.max()), (lags or len(h)) + 1)):
+        for whole in whole_groups(batches, "bucket"):
+            bucket, node, lo, hi = (whole.column(c).to_numpy() for c in ("bucket", "node", "lo", "hi"))
+            values, facts = np.stack([lo, hi], 1).view(np.uint64), _Facts(whole)
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
+            size = np.diff(np.append(begin, len(bucket)))
+            left = np.repeat(begin + size, size) - np.arange(len(bucket))  # rows of the bucket from here on
+            few = np.repeat(size <= 8, size)
+            pairs = []
+            for lag in range(1, 8):
+                at = np.flatnonzero(few & (left > lag))
+                at = at[np.bitwise_count(values[at] ^ values[at + lag]).sum(1) <= radius]
+                at = at[facts.fit(at, at + lag)]
+                pairs.append(np.stack([node[at], node[at + lag]], 1))
+            for k, n in zip(begin[size > 8].tolist(), size[size > 8].tolist(), strict=True):
+                fit = lambda a, b, k=k: facts.fit(a + k, b + k)
+                found = np.array(forest_rows(values[k : k + n], radius, fit), np.int64).reshape(-1, 2)
+                pairs.append(node[k : k + n][found])
+            edges = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
+            yield record(a=pa.array(edges[:, 0]), b=pa.array(edges[:, 1]))
+
+    blocks = sent_if_small(crowds.select("h", F.ceil(F.col("n") / CROWD).alias("blocks")))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    rows = held.join(blocks, "h", "left").withColumn("bucket", F.when(F.col("blocks").isNull(), F.col("h")).otherwise(F.xxhash64("h", block)))
+    rows = rows.select("bucket", "node", "lo", "hi", "n", *_PARITY)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(compare, "a long, b long").distinct()
+
+
+def open_pairs(held: DataFrame, crowds: DataFrame) -> DataFrame:
+    """(a, b) of (h, node, root, n, top, p0..) that are of two components and may have the similarity.
+
+    Sizes, parities and the number of members that both prefixes share rule out only what can't
+    have it.  Each row of a crowded bucket goes to the pairs of blocks that its own block is in,
+    so that every two rows meet in some task.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
+        for whole in whole_groups(batches, "bucket"):
+            bucket, root = (whole.column(c).to_numpy() for c in ("bucket", "root"))
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
+            mixed = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
+            keep = np.repeat(mixed, np.diff(np.append(begin, len(bucket))))
+            if not keep.any():
+                continue
+            whole = whole.filter(pa.array(keep))
+            bucket, node, root, top, side = (whole.column(c).to_numpy() for c in ("bucket", "node", "root", "top", "side"))
+            facts = _Facts(whole)
+            n, rest = facts.n, facts.n - prefix_length(facts.n)
+            left, at = np.searchsorted(bucket, bucket, "right") - np.arange(len(bucket)), np.arange(len(bucket))
+            out, count = [], 0
+
+            def pairs(found: list) -> pa.RecordBatch:
+                rows = np.concatenate(found)
+                return record(a=pa.array(rows[:, 0]), b=pa.array(rows[:, 1]), need=pa.array(rows[:, 2]))
+
+            for lag in range(1, int(left.max())):
                 at = at[left[at] > lag]
                 at = at[5 * n[at] >= 4 * n[at + lag]]  # sizes ascend, so a row that is too small stays so
-                k = at[root[at] != root[at + lag]]
-                k = k[9 * np.bitwise_count(odd[k] ^ odd[k + lag]).sum(1, dtype=np.int64) <= n[k] + n[k + lag]]
-                pairs.append(np.stack([node[k], node[k + lag]], 1))
-            found = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
-            yield record(a=pa.array(found[:, 0]), b=pa.array(found[:, 1]))
+                k = at[(root[at] != root[at + lag]) & ((side[at] != side[at + lag]) | (side[at] == 0))]
+                k = k[facts.fit(k, k + lag)]
+                if len(k):
+                    # beyond the lower of both tops, the set of that top has `rest` members
+                    beyond = np.where(top[k] < top[k + lag], rest[k], rest[k + lag])
+                    need = (4 * (n[k] + n[k + lag]) + 8) // 9 - beyond
+                    out.append(np.stack([np.minimum(node[k], node[k + lag]), np.maximum(node[k], node[k + lag]), need], 1))
+                    count += len(k)
+                if count > 500_000:
+                    yield pairs(out)
+                    out, count = [], 0
+            if out:
+                yield pairs(out)
+
+    blocks = sent_if_small(crowds.select("h", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda x: F.struct(
+            F.xxhash64("h", F.least(x, own), F.greatest(x, own)).alias("bucket"),
+            F.when(x == own, 0).when(own < x, 1).otherwise(2).alias("side"),
+        ),
+    )
+    rows = held.join(blocks, "h", "left")
+    alone = rows.where("blocks is null").withColumn("bucket", F.col("h")).withColumn("side", F.lit(0))
+    crowded = rows.where("blocks is not null").withColumn("meet", F.explode(meets)).select("*", "meet.bucket", "meet.side")
+    names = ("bucket", "side", "node", "root", "n", "top", *_PARITY)
+    dealt = alone.select(*names).unionByName(crowded.select(*names)).repartition("bucket").sortWithinPartitions("bucket", "n", "node")
+    found = dealt.mapInArrow(compare, "a long, b long, need long")
+    return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
 
-    dealt = held.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "node", "root", "n", *_PARITY)
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The written pairs (a, b) of (node, text) whose texts have the similarity, written."""
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-named")
 
-def similar_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of texts linked by a Jaccard similarity of 0.8 or more on distinct 5-word shingles.
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            sets = [shingle_set(t or "").tobytes() for t in batch.column(1).to_pylist()]
+            yield record(node=batch.column(0), members=pa.array(sets, pa.binary()))
+
+        return step
+
+    def check():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            sets = [[np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist()] for c in (2, 3)]
+            good = pa.array([similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+
+        return step
+
+    sets = written(map_rows(texts.join(sent_if_small(named), "node", "left_semi").select("node", "text"), make, "node long, members binary"), "similar-sets")
+    both = _with_members(_with_members(pairs, sets, "b"), sets, "a").select("a", "b", "a_members", "b_members")
+    return written(map_rows(both, check, "a long, b long", 64), "similar-links")
+
+
+def _with_members(pairs: DataFrame, sets: DataFrame, c: str) -> DataFrame:
+    """Adds the set of node `c`; that of a node of very many pairs goes to several tasks."""
+    of = sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_members"))
+    copies = pairs.groupBy(c).agg(F.ceil(F.count(F.lit(1)) / PAIRS_TOGETHER).cast("int").alias("copies")).where("copies > 1")
+    copies = written(copies, "similar-copies")
+    if copies.isEmpty():
+        return pairs.join(of, c)
+    copies = sent_if_small(copies)
+    left = pairs.join(copies, c, "left").withColumn("copy", F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1))).cast("int"))
+    right = of.join(copies, c, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+    return left.drop("copies").join(right.drop("copies"), [c, "copy"]).drop("copy")
+
+
+def similar_rows(rows: DataFrame) -> DataFrame:
+    """(row, component) of `numbered` rows whose texts are linked by a Jaccard similarity of 0.8 or more on distinct 5-word shingles.
 
-    Every link is verified on the texts, and none is lost.  Fingerprints find most links, whose
-    verified ones make components.  Then pairs of two components that share a member of both
-    prefixes are verified: first neighbours in size, then, between what is still apart, all.
-    Doc ids must not be null: pass row keys.
+    Every link is verified on the texts, and none is lost.  Texts of that similarity share one
+    of the first fifth of their members, whatever the members' order, so every link meets in
+    the bucket of a shared one.  In a bucket bit-sliced fingerprints grow components; their
+    verified edges join near all.  Then pairs that share a bucket and are still apart are
+    verified, but for those that can't have the similarity.
     """
-    fps = written(described(docs), "wide-fingerprints")
-    facts = [F.first(c).alias(c) for c in ("lo", "hi", "n", *_PARITY)]
-    nodes = written(fps.groupBy("k0", "k1").agg(F.min("doc_id").alias("node"), *facts), "wide-nodes")
-    edges = verified(written(wide_links(nodes.select("node", "lo", "hi"), nodes.count()), "wide-edges"), docs)
-    members = fps.select(F.explode("prefix").alias("h"), F.col("doc_id").alias("node"))
-    shared = written(shared_members(members), "similar-shared")
-    for lags in (1, None):
-        roots = nodes.join(components(edges), "node", "left").select("node", "n", *_PARITY, F.coalesce("root", "node").alias("root"))
-        pairs = written(open_pairs(shared.join(roots, "node"), lags), "similar-pairs")
-        edges = edges.unionByName(verified(pairs, docs))
+    texts = rows.select(F.col(ROW).alias("node"), "text")
+    facts = written(described(texts), "similar-facts")
+    first = [F.first(c).alias(c) for c in ("lo", "hi", "n", *_PARITY)]
+    nodes = written(facts.groupBy("k0", "k1").agg(F.min("row").alias("node"), *first), "similar-nodes")
+    gone = written(facts.select(F.col("row").alias("node")).join(nodes.select("node"), "node", "left_anti"), "similar-gone")
+    texts = texts.join(sent_if_small(gone), "node", "left_anti")
+    lists, shared, crowds = shared_prefixes(texts)
+    known = written(nodes.join(lists.select("node", "top"), "node").select("node", "lo", "hi", "n", "top", *_PARITY), "similar-known")
+    held = written(join_narrow(shared, known, "node"), "similar-held")
+    edges = verified(written(wide_links(held, crowds), "similar-edges"), texts)
     roots = components(edges)
-    classes = nodes.join(roots, "node", "left").select("k0", "k1", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(classes, ["k0", "k1"]).select("doc_id", "component_id")
+    if not crowds.isEmpty():  # blocks of one bucket meet in one row for each component
+        names = join_narrow(held.join(sent_if_small(crowds.select("h")), "h", "left_semi"), roots, "node", "left")
+        names = names.groupBy("h", F.coalesce("root", "node").alias("root")).agg(F.min("node").alias("node"))
+        again = join_narrow(written(names.select("h", "node"), "similar-again"), known, "node")
+        few = written(again.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "similar-crowds")
+        more = verified(written(wide_links(again, few), "similar-edges"), texts)
+        edges = edges.unionByName(more)
+        roots = components(edges)
+    apart = join_narrow(held.drop("lo", "hi"), roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = verified(written(open_pairs(apart, crowds), "similar-pairs"), texts)
+    roots = components(edges.unionByName(more))
+    classes = nodes.join(roots, "node", "left").select("k0", "k1", F.coalesce("root", "node").alias("component"))
+    return facts.join(classes, ["k0", "k1"]).select("row", "component")
+
+
+def similar_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id), a row for each row of `docs`: `similar_rows`, components by their smallest doc_id."""
+    rows = numbered(docs)
+    found = rows.select(F.col(ROW).alias("row"), "doc_id").join(similar_rows(rows), "row")
+    found = written(found.select("doc_id", "component"), "similar-found")
+    names = written(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "similar-names")
+    return join_narrow(found, names, "component").select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows and columns of `docs`; of texts linked at a similarity of 0.8 on 5-word shingles, the row of the smallest doc_id.
+
+    Null and empty texts are alike; a null doc_id is last; of repeated rows one stays; an empty table stays empty.
+    """
+    rows = numbered(docs)
+    return keep_first(rows, similar_rows(rows).select(F.col("row").alias(ROW), F.col("component").alias("group")))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

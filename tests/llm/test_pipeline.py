@@ -2,17 +2,17 @@ import os
 import random
 
 import corpus_pipeline
-from provenant.llm.common import keep_first
+from provenant.llm.common import ROW, keep_first, numbered
 
 
 def test_keep_first_of_each_group(spark):
     rows = [(5, "a", 1), (3, "b", 2), (3, "b", 2), (None, "c", 3), (9, "d", 4), (4, "e", 5), (4, "f", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").selectExpr("*", "'x' as group")
-    keyed = corpus_pipeline.row_keys(docs)
-    groups = keyed.selectExpr("_row", "case when text in ('a','b','c') then 1 when text in ('e','f') then 2 else 3 end as group")
-    got = sorted((r.doc_id, r.text) for r in keep_first(docs, groups).collect())
+    numbers = numbered(docs)
+    groups = numbers.selectExpr(ROW, "case when text in ('a','b','c') then 1 when text in ('e','f') then 2 else 3 end as group")
+    got = sorted((r.doc_id, r.text) for r in keep_first(numbers, groups).collect())
     assert got[0] == (3, "b") and got[1][0] == 4 and got[2] == (9, "d") and len(got) == 3
-    assert keep_first(docs, groups).columns == docs.columns
+    assert keep_first(numbers, groups).columns == docs.columns
 
 
 def test_stages_equal_brute_force(spark, tmp_path):

@@ -4,7 +4,9 @@ from functools import reduce
 import numpy as np
 import xxhash
 
-from provenant.llm import simhash
+import pytest
+
+from provenant.llm import common, simhash
 
 
 def brute_fingerprint(text):
@@ -181,7 +183,13 @@ def test_sparse_chains_in_large_buckets_stay_whole():
         assert joined(values, edges) == classes(roots(values, 4))
 
 
-def test_similar_links_are_exact_at_the_edge(spark):
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 5])
+def test_similar_links_are_exact_at_the_edge(spark, crowd, monkeypatch):
+    if crowd == 5:  # crowded buckets, hot keys and tables that can't be sent
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "PAIRS_TOGETHER", 2)
+        monkeypatch.setattr(common, "SENT_ROWS", 0)
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
     r = random.Random(11)
     word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(4, 8)))
     passage = [word() for _ in range(30)]
@@ -193,6 +201,10 @@ def test_similar_links_are_exact_at_the_edge(spark):
             text[at] = word()
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(text if k % 3 else base[: -max(1, len(base) // 6)]))]
     rows += [(1000 + k, " ".join(word() for _ in range(6))) for k in range(400)]
+    versions = [word() for _ in range(120)]
+    for k in range(40):  # a large group, each next to some others only
+        versions[r.randrange(120)] = word()
+        rows.append((2000 + k, " ".join(versions)))
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for _, t in rows for w in [t.split()]]
     root = {d: d for d, _ in rows}
 
