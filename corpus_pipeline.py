@@ -6,10 +6,9 @@ Every stage works on all that the one before kept, which run() writes and reads
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from provenant.llm import exact, packing, quality, simhash, suffixes
-from provenant.llm.common import keep_first, row_keys, table, written
+from provenant.llm.common import table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,16 +18,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space, the one of the smallest doc_id."""
-    keyed = row_keys(docs).select(F.col("_row").alias("doc_id"), "text")
-    found = exact.exact_duplicates(keyed)
-    return keep_first(docs, found.select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("group")))
+    return exact.without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by SimHash at a similarity of 0.8 on 5-word shingles, the one of the smallest doc_id."""
-    keyed = row_keys(docs).select(F.col("_row").alias("doc_id"), "text")
-    found = simhash.similar_duplicates(keyed)
-    return keep_first(docs, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")))
+    """Of texts linked at a similarity of 0.8 on 5-word shingles, the one of the smallest doc_id."""
+    return simhash.without_near_copies(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
