@@ -33,18 +33,39 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again.
 
-    Lineage ends at the files, so a lost executor costs no recomputation before them.
+    Lineage ends at the files, so a lost executor costs no recomputation before them, and the
+    shuffle files behind them are not needed any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    out = df.write
+    out = df.write.option("compression", "zstd")
     if partition_by:
         out = out.partitionBy(*partition_by)
-    out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        out.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._written_at = path
+    return again
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete `written` tables that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_written_at", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fold(doc_id: Column | str, modulus: int, rest: int) -> Column:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, drop_caches, join_narrow, keep_first, map_rows, numbered, record, sent_if_small, table, whole_groups, written
+from .common import ROW, discard, drop_caches, join_narrow, keep_first, map_rows, numbered, record, sent_if_small, table, whole_groups, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -512,6 +512,7 @@ def shared_prefixes(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if not len(np.setdiff1d(hot, late)):
             break
         late, before = np.union1d(late, hot), rows
+        discard(lists, shared, crowds)
     return lists, shared, crowds
 
 
@@ -646,7 +647,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     sets = written(map_rows(texts.join(sent_if_small(named), "node", "left_semi").select("node", "text"), make, "node long, members binary"), "similar-sets")
     both = _with_members(_with_members(pairs, sets, "b"), sets, "a").select("a", "b", "a_members", "b_members")
-    return written(map_rows(both, check, "a long, b long", 64), "similar-links")
+    links = written(map_rows(both, check, "a long, b long", 64), "similar-links")
+    discard(named, sets)
+    return links
 
 
 def _with_members(pairs: DataFrame, sets: DataFrame, c: str) -> DataFrame:
@@ -680,6 +683,7 @@ def similar_rows(rows: DataFrame) -> DataFrame:
     lists, shared, crowds = shared_prefixes(texts)
     known = written(nodes.join(lists.select("node", "top"), "node").select("node", "lo", "hi", "n", "top", *_PARITY), "similar-known")
     held = written(join_narrow(shared, known, "node"), "similar-held")
+    discard(lists, shared)
     edges = verified(written(wide_links(held, crowds), "similar-edges"), texts)
     roots = components(edges)
     if not crowds.isEmpty():  # blocks of one bucket meet in one row for each component
@@ -692,6 +696,7 @@ def similar_rows(rows: DataFrame) -> DataFrame:
         roots = components(edges)
     apart = join_narrow(held.drop("lo", "hi"), roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = verified(written(open_pairs(apart, crowds), "similar-pairs"), texts)
+    discard(held)
     roots = components(edges.unionByName(more))
     classes = nodes.join(roots, "node", "left").select("k0", "k1", F.coalesce("root", "node").alias("component"))
     return facts.join(classes, ["k0", "k1"]).select("row", "component")
