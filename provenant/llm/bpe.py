@@ -21,11 +21,12 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,10 +36,19 @@ from .common import DROPS, map_rows, record, table
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: The pattern's white space.
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Texts with other characters than these, or special tokens, are normalised and split piece by piece:
+#: of the others (Latin letters, but for the dotted capital I) lower case changes each character by itself.
+_ODD = r"[^\x00-\x1b\x20-\x{84}\x{86}-\x{9f}\x{a1}-\x{12f}\x{131}-\x{24f}]|<\|"
+#: What stands apart from words of letters, in the order of the vocabulary file's pattern.
+_APART = r"'(?:s|t|re|ve|m|ll|d)|[^\t-\r \pL\pN]+|\pN"
+#: The vocabulary file's pattern that `_APART` is written for.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of text that are encoded together, but for a longer text.
+BATCH_BYTES = 8 << 20
 #: Distance of a symbol that ends a word from the same symbol inside it.
 _FINAL = 1024
-#: Entries kept between batches by one worker; above, the cache starts anew.
-CACHE_WORDS = 800_000
+#: Entries that one worker keeps between batches; when there are twice as many, the half not used for longest goes.
+CACHE_WORDS = 400_000
 _PAIRS = 2_000_000
 
 
@@ -76,9 +86,14 @@ class TrieBpe:
         self._packed = [i.to_bytes(4, "little") for i in range(len(self._table))]
         self._latin = dict(enumerate(_byte_symbols()))
         self._path, self._library = path, None
+        self._plain = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == _PATTERN
         self._fits: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._right_edge: dict[int, list[tuple[int, int]]] = {}
+        self._left_edge: dict[int, list[tuple[int, int]]] = {}
+        self._merges_ordered = self._ordered()
         self._automaton()
 
     # -- merges ---------------------------------------------------------
@@ -100,14 +115,60 @@ class TrieBpe:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
+    def _ordered(self) -> bool:
+        """Whether each token has one merge that makes it, later than those that make its parts; notes the merges.
+
+        Then the edges of two neighbours tell if a merge across them comes before those inside them.
+        """
+        self._made: dict[int, tuple[int, int, int]] = {}
+        self._across: dict[int, int] = {}
+        for (a, b), rank in self.rank.items():
+            left, right, whole = (self.vocab.get(x, -1) for x in (a, b, a + b))
+            if min(left, right, whole) < 0 or whole in self._made:
+                return False
+            if any(x not in self._made and len(self._parts(self.tokens[x])) > 1 for x in (left, right)):
+                return False
+            self._made[whole] = rank, left, right
+            self._across[left << 20 | right] = rank
+        return True
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """A token's parts at its left (1) or right (2) edge, each with the rank of the merge that takes it up."""
+        out, rank = [], 1 << 60
+        while True:
+            out.append((token, rank))
+            made = self._made.get(token)
+            if made is None:
+                return out
+            rank, token = made[0], made[side]
+
+    def _crossed(self, left: int, right: int) -> bool:
+        """Whether a merge across two neighbours comes first; of equal ones inside and across, the leftmost does."""
+        for edges, token, side in ((self._right_edge, left, 2), (self._left_edge, right, 1)):
+            if token not in edges:
+                edges[token] = self._edge(token, side)
+        across = self._across
+        for a, until in self._right_edge[left]:
+            for b, end in self._left_edge[right]:
+                rank = across.get(a << 20 | b)
+                if rank is not None and rank < until and rank <= end:
+                    return True
+        return False
+
     def _compatible(self, left: int, right: int) -> bool:
-        a, b = self.tokens[left], self.tokens[right]
         if len(self._fits) > _PAIRS:
             self._fits.clear()
-        got = self._fits[left << 20 | right] = self.merge(self._parts(a) + self._parts(b)) == [a, b]
+        if self._merges_ordered:
+            got = self._whole(left) and self._whole(right) and not self._crossed(left, right)
+        else:
+            a, b = self.tokens[left], self.tokens[right]
+            got = self.merge(self._parts(a) + self._parts(b)) == [a, b]
+        self._fits[left << 20 | right] = got
         return got
 
     def _whole(self, token: int) -> bool:
+        if token in self._alone:
+            return self._alone[token]
         got = self._alone[token] = self.merge(self._parts(self.tokens[token])) == [self.tokens[token]]
         return got
 
@@ -139,8 +200,7 @@ class TrieBpe:
             node_of[node] = token
             length[token] = len(codes)
         fail = [0] * len(edges)
-        longest = [node_of.get(k, -1) for k in range(len(edges))]
-        shorter = [-1] * len(self._table)
+        ending: list[tuple[tuple[int, int], ...]] = [((node_of[k], length[node_of[k]]),) if k in node_of else () for k in range(len(edges))]
         queue = [0]
         for node in queue:
             for c, at in edges[node]:
@@ -148,12 +208,9 @@ class TrieBpe:
                 while back and back << 12 | c not in step:
                     back = fail[back]
                 fail[at] = step.get(back << 12 | c, 0) if node else 0
-                if at in node_of:
-                    shorter[node_of[at]] = longest[fail[at]]
-                else:
-                    longest[at] = longest[fail[at]]
+                ending[at] += ending[fail[at]]
                 queue.append(at)
-        self._step, self._fail, self._longest, self._shorter, self._length = step, fail, longest, shorter, length
+        self._step, self._fail, self._ending, self._length = step, fail, ending, length
 
     def _next(self, state: int, code: int) -> int:
         """The transition that the trie lacks; it is remembered."""
@@ -167,43 +224,48 @@ class TrieBpe:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Packed token ids of distinct words, given as byte symbols, by one depth-first traversal."""
-        step, longest, shorter, length = self._step, self._longest, self._shorter, self._length
+        step, ending, length = self._step, self._ending, self._length
         fits, alone, packed = self._fits, self._alone, self._packed
         out: dict[str, bytes] = {}
         before = ""
         last, states = [0], [0]  # of the prefix of i symbols: its last token and its automaton state
+        push, push_state = last.append, states.append
         for word in sorted(set(words)):
             n = len(word)
-            shared, most = 0, min(n - 1, len(last) - 1)
+            shared, most = 0, min(n, len(last)) - 1
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :], states[shared + 1 :]
-            for i in range(shared, n):
-                code = ord(word[i]) + (_FINAL if i == n - 1 else 0)
-                key = states[i] << 12 | code
-                state = step[key] if key in step else self._next(states[i], code)
-                token = longest[state]
-                while True:
-                    start = i + 1 - length[token]
-                    if start:
-                        pair = last[start] << 20 | token
-                        if fits[pair] if pair in fits else self._compatible(last[start], token):
+            state, end = states[shared], shared
+            for code in map(ord, word[shared:]):
+                end += 1
+                key = state << 12 | (code + _FINAL if end == n else code)
+                state = step[key] if key in step else self._next(state, key & 4095)
+                for token, size in ending[state]:
+                    if size == end:
+                        if alone[token] if token in alone else self._whole(token):
                             break
-                    elif alone[token] if token in alone else self._whole(token):
-                        break
-                    token = shorter[token]
-                    if token < 0:
-                        raise ValueError(f"no token ends {word[: i + 1]!r}")
-                last.append(token)
-                states.append(state)
-            ids = []
-            while n:
-                token = last[n]
-                ids.append(packed[token])
-                n -= length[token]
-            out[word] = ids[0] if len(ids) == 1 else b"".join(ids[::-1])
-            last.pop()
+                    else:
+                        pair = last[end - size] << 20 | token
+                        if fits[pair] if pair in fits else self._compatible(pair >> 20, token):
+                            break
+                else:
+                    raise ValueError(f"no token ends {word[:end]!r}")
+                push(token)
+                push_state(state)
+            token = last.pop()
             states.pop()
+            if length[token] == n:
+                out[word] = packed[token]
+            else:
+                ids = [packed[token]]
+                n -= length[token]
+                while n:
+                    token = last[n]
+                    ids.append(packed[token])
+                    n -= length[token]
+                ids.reverse()
+                out[word] = b"".join(ids)
             before = word
         return out
 
@@ -248,27 +310,79 @@ class TrieBpe:
             out += [part] if part in self.special else self._pieces(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+    def _ids(self, pieces: list[str], split: Callable[[str], list[str]] | None = None) -> list[bytes]:
+        """Packed ids of distinct pieces, words if there is no `split`; unknown ones are encoded in one traversal."""
+        if len(self.cache) > CACHE_WORDS:
+            self._older, self.cache = self.cache, {}
+        cache, older = self.cache, self._older
+        new = [p for p in pieces if p not in cache]
+        if older:
+            cache.update((p, older[p]) for p in new if p in older)
+            new = [p for p in new if p not in older]
+        if split:
+            words = [split(p) for p in new]
+            ids = self.encode_words(w for own in words for w in own)
+            cache.update((p, b"".join([ids[w] for w in own])) for p, own in zip(new, words, strict=True))
+        else:
+            words = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self._latin) for p in new if p]
+            ids = self.encode_words(words)
+            cache.update(zip(filter(None, new), map(ids.__getitem__, words), strict=True))
+            cache[""] = b""
+        return list(map(cache.__getitem__, pieces))
+
+    def _piece(self, piece: str) -> list[str]:
+        return self._split(piece) if piece else []
+
+    def _encode_odd(self, texts: list[str]) -> list[bytes]:
         stretches = [self._stretches(t) for t in texts]
-        seen: set[str] = set()
-        for s in stretches:
-            seen.update(s)
-        new = {p: self._split(p) for p in seen if p and p not in cache and p not in self.special}
-        ids = self.encode_words(w for words in new.values() for w in words)
-        for piece, words in new.items():
-            cache[piece] = ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words])
-        cache |= {p: self._packed[i] for p, i in self.special.items()} | {"": b""}
-        return [b"".join(map(cache.__getitem__, s)) for s in stretches]
+        distinct = list({p for s in stretches for p in s if p not in self.special})
+        ids = dict(zip(distinct, self._ids(distinct, self._piece), strict=True))
+        ids |= {p: self._packed[i] for p, i in self.special.items()}
+        return [b"".join(map(ids.__getitem__, s)) for s in stretches]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind each other, and the places where each text's begin and end; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD) if self._plain else pa.repeat(True, len(texts))
+        some = pc.any(odd).as_py()
+        plain = pc.if_else(odd, "", texts) if some else texts
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), _APART, r" \0 "))
+        coded = words.flatten().dictionary_encode()
+        known = self._ids(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(np.frombuffer(b"".join(known), "<u4")))
+        taken = lists.take(coded.indices)
+        ids = taken.flatten().to_numpy()
+        bounds = taken.offsets.to_numpy()[words.offsets.to_numpy()]
+        if not some:
+            return ids, bounds
+        parts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        which = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        for k, own in zip(which, self._encode_odd([texts[k].as_py() for k in which]), strict=True):
+            parts[k] = np.frombuffer(own, "<u4")
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, bounds = self.encode_array(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the tokens, joined by a space: the file names no decoder that would fuse them."""
         return b" ".join(map(self._table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with at most so many bytes of text, but for a longer text."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(end[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(end, before + most, "right")) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TrieBpe:
     """One encoder, with its caches, for each worker process."""
@@ -277,43 +391,36 @@ def encoder(path: str) -> TrieBpe:
 
 DROPS.append(encoder.cache_clear)
 
+
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, ids binary, decoded string) of every text; `vocabulary` is a path that every executor has."""
+    return _encoded(docs, vocabulary, lambda ids, text: (ids, text.decode()), "ids binary, decoded string")
+
+
+def _encoded(docs: DataFrame, vocabulary: str | None, cells: Callable[[bytes, bytes], tuple], schema: str) -> DataFrame:
+    """doc_id and the `cells` of every text's ids and their decoding."""
     path = vocabulary or default_vocabulary()
+    kinds = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
+    columns = [c.split() for c in schema.split(", ")]
 
     def make():
         bpe = encoder(path)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
-            yield record(
-                doc_id=batch.column(0),
-                ids=pa.array(ids, pa.binary()),
-                decoded=pa.array([bpe.decode(x).decode() for x in ids], pa.string()),
-            )
+            for part in byte_slices(batch, 1):
+                ids = bpe.encode(part.column(1))
+                rows = zip(*(cells(x, bpe.decode(x)) for x in ids), strict=True)
+                yield record(doc_id=part.column(0), **{c: pa.array(x, kinds[k]) for (c, k), x in zip(columns, rows, strict=True)})
 
         return step
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, ids binary, decoded string", keep=True)
+    return map_rows(docs.select("doc_id", "text"), make, f"doc_id long, {schema}", rows=1 << 20, keep=True)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of their decoding."""
-    path = default_vocabulary()
-
-    def make():
-        bpe = encoder(path)
 
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
-            yield record(
-                doc_id=batch.column(0),
-                n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()),
-                ids_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                decoded_sha256=pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
-            )
-
-        return step
+    def cells(ids: bytes, text: bytes) -> tuple:
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return map_rows(docs, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keep=True)
+    return _encoded(table(spark, sf_dir, "documents"), None, cells, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -112,9 +112,9 @@ def record(**columns) -> pa.RecordBatch:
 SENT_ROWS = 500_000
 
 
-def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+def sent_if_small(df: DataFrame) -> DataFrame:
     """`df`, a written table of narrow rows, with a broadcast hint if its count allows; else Spark shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -5,13 +5,18 @@ the smallest context tier that holds it, so it fills over half of a window there
 tier is packed from its longest piece down: a window's gap takes the longest pieces of
 the shorter tiers that fit, and where none fits whole, the head of the shortest piece
 left, so every window is full.  A window has the size of its tier, a power of two, and
-needs no padding.  Full windows of a tier are dealt to step groups of equal token count,
-so each training step is one tier and weighs the same.
+needs no padding.
+
+Windows are dealt to step groups of equal token count over all partitions: in order of
+their size, the longest first, they are laid on one line that is cut at each step.  Sizes
+and steps are powers of two, so no window lies across a cut, every step but the last
+weighs the same, and all steps but those where one size gives way to the next are of one size.
 
 Packing is local to a partition, in buffers of bounded size; what can't fill a window
 goes over to the next buffer.  The rest of a partition, under one window, is cut at
-powers of two.  Sequence ids hold the partition's number; a repeated task reads the same
-rows in the same order and gives the same sequences.
+powers of two.  Sequence ids hold the partition's number; the pieces are written once, so a
+lost task's repetition can't mix with other sequences, and only the number of windows of
+each size and partition is needed to place a partition's windows on the line.
 
 Decided cases: a null or empty text is a document of its end token only; repeated rows
 are documents of their own, also under one doc_id; an empty table gives no rows; extra
@@ -27,48 +32,46 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from .bpe import default_vocabulary, encoder
-from .common import table
+from .bpe import byte_slices, default_vocabulary, encoder
+from .common import sent_if_small, table, written
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
-#: Tokens of a step group.
+#: Tokens of a step group, a power of two of at least the longest tier.
 STEP_TOKENS = 64 * 2048
 #: Tokens gathered before a buffer is packed.
 BUFFER_TOKENS = 2_000_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-    "sequence_id long, offset long, context long, step_group long"
+    "sequence_id long, offset long, context long, place long"
 )
+#: Bits of a sequence id below the partition's number.
+_BITS = 36
 
 
 class Packer:
-    """Packs one partition.  `emit(piece, sequence, offset, context, group)` gets each placed piece.
+    """Packs one partition.  `emit(piece, sequence, offset, context, place)` gets each placed piece.
 
-    A piece is (length, serial, start, document); serial makes pieces distinct.
+    A piece is (length, serial, start, document); serial makes pieces distinct.  `place` counts
+    the windows of each size.
     """
 
-    def __init__(self, emit, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, base: int = 0):
-        self.emit, self.tiers, self.step_tokens = emit, tuple(sorted(tiers, reverse=True)), step_tokens
-        self.sequence, self.base, self.serial = base, base, 0
+    def __init__(self, emit, tiers: tuple[int, ...] = TIERS, base: int = 0):
+        self.emit, self.tiers = emit, tuple(sorted(tiers, reverse=True))
+        self.sequence, self.serial = base, 0
         self.full: Counter[int] = Counter()
-        self.groups: dict[int, int] = {}
-        self.n_groups = 0
         self.rest: list[tuple] = []
 
     def _place(self, pieces: list[tuple], context: int) -> None:
-        k = self.full[context]
-        if k % max(1, self.step_tokens // context) == 0:
-            self.groups[context] = self.base + self.n_groups
-            self.n_groups += 1
-        self.full[context] += 1
         offset = 0
         for piece in pieces:
-            self.emit(piece, self.sequence, offset, context, self.groups[context])
+            self.emit(piece, self.sequence, offset, context, self.full[context])
             offset += piece[0]
+        self.full[context] += 1
         self.sequence += 1
 
     def add(self, document, n_tokens: int) -> None:
@@ -133,10 +136,13 @@ def pack_documents(
     step_tokens: int = STEP_TOKENS,
     buffer_tokens: int = BUFFER_TOKENS,
 ) -> DataFrame:
-    """Tokenise (doc_id, text) and return one row for each piece, see SCHEMA.
+    """Tokenise (doc_id, text) and return one row for each piece, see SCHEMA, with `step_group` instead of `place`.
 
     `context` is the sequence's length, `step_group` the step that trains on it.
     """
+    sizes = [*tiers, step_tokens]
+    if any(x < 1 or x & (x - 1) for x in sizes) or step_tokens < max(tiers):
+        raise ValueError("tiers and step_tokens are powers of two, and a step holds a window of the longest tier")
     path = vocabulary or default_vocabulary()
     end = end_id.to_bytes(4, "little")
 
@@ -144,10 +150,10 @@ def pack_documents(
         bpe = encoder(path)
         rows: list[tuple] = []
 
-        def emit(piece, sequence, offset, context, group):
+        def emit(piece, sequence, offset, context, place):
             length, _, start, (doc_id, ids) = piece
             crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-            rows.append((doc_id, start, length, crc, len(ids) // 4, sequence, offset, context, group))
+            rows.append((doc_id, start, length, crc, len(ids) // 4, sequence, offset, context, place))
 
         def out() -> pa.RecordBatch:
             names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -155,25 +161,36 @@ def pack_documents(
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names=names)
 
-        packer = Packer(emit, tiers, step_tokens, TaskContext.get().partitionId() << 36)
+        packer = Packer(emit, tiers, TaskContext.get().partitionId() << _BITS)
         waiting = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                encoded = bpe.encode([t or "" for t in part.column(1).to_pylist()])
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
+            for part in byte_slices(batch, 1):
+                for doc_id, ids in zip(part.column(0).to_pylist(), bpe.encode(part.column(1)), strict=True):
                     packer.add((doc_id, ids + end), len(ids) // 4 + 1)
                     waiting += len(ids) // 4 + 1
-                if waiting >= buffer_tokens:
-                    packer.pack()
-                    waiting = 0
-                if len(rows) > 20_000:
-                    yield out()
+                    if waiting >= buffer_tokens:
+                        packer.pack()
+                        waiting = 0
+                    if len(rows) > 20_000:
+                        yield out()
         packer.finish()
         if rows:
             yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    pieces = written(docs.select("doc_id", "text").mapInArrow(run, SCHEMA), "pieces")
+    pieces = pieces.withColumn("part", F.shiftright("sequence_id", _BITS))
+    # one narrow row for each partition and size
+    counts = pieces.where("offset = 0").groupBy("context", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("context").orderBy("part")) - F.col("n")
+    counts = written(counts.withColumn("before", before), "packed-counts")
+    totals = {r.context: r.n for r in counts.groupBy("context").agg(F.sum("n").alias("n")).collect()}  # one for each size
+    begin, at = {}, 0
+    for context in sorted(totals, reverse=True):
+        begin[context], at = at, at + context * totals[context]
+    line = F.coalesce(*(F.when(F.col("context") == c, b) for c, b in begin.items()), F.lit(0)) + F.col("context") * (F.col("before") + F.col("place"))
+    placed = pieces.join(sent_if_small(counts.drop("n")), ["context", "part"])
+    names = [c.split()[0] for c in SCHEMA.split(", ")][:-1]
+    return placed.select(*names, F.floor(line / step_tokens).cast("long").alias("step_group"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,4 +51,44 @@ def test_documents_are_stored_losslessly(spark):
         data = (t or "").encode()
         payload = media.decode(bytes(out[d].media)).tobytes()
         assert payload == data.ljust(max(64, -(-len(data) // 64) * 64), b"\0") and out[d].n_bytes == len(data)
-    assert zlib.crc32(b"\0" * 64) and hashlib.sha256(b"")
+
+
+def plain_bits(image):
+    """The difference hash by covered areas, summed cell by cell: how much brighter, and whether."""
+
+    def cell(top, bottom, left, right):
+        total = 0.0
+        for y in range(int(top), int(np.ceil(bottom - 1e-9))):
+            for x in range(int(left), int(np.ceil(right - 1e-9))):
+                total += float(image[y, x]) * (min(bottom, y + 1) - max(top, y)) * (min(right, x + 1) - max(left, x))
+        return total
+
+    h, w = image.shape
+    grid = [[cell(h * i / 8, h * (i + 1) / 8, w * j / 9, w * (j + 1) / 9) for j in range(9)] for i in range(8)]
+    return [(b - a, b > a) for row in grid for a, b in zip(row, row[1:], strict=False)]
+
+
+def test_query_equals_a_plain_reading(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "é" * 32), (4, "x" * 65), (4, "x" * 65), (5, "long text " * 30000), (None, "null id"), (6, "".join(chr(33 + k * 7 % 90) for k in range(900)))]
+    docs = spark.createDataFrame([(d, t, "x", 7) for d, t in rows], "doc_id long, text string, media string, n_bytes long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(media.op4_media(spark, str(tmp_path)).collect(), key=str)
+    want = []
+    for d, t in rows:
+        data = (t or "").encode()
+        payload = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
+        stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        want.append((d, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest()))
+        if len(payload) < 5000:
+            bits = plain_bits(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+            feature = next(g.feature for g in got if g.doc_id == d)
+            own = np.unpackbits(np.frombuffer(bytes.fromhex(feature.split("-")[0]), np.uint8))
+            assert all(bool(o) == b for o, (gap, b) in zip(own, bits, strict=True) if abs(gap) > 1e-6)
+    assert sorted((tuple(g)[:7] for g in got), key=str) == sorted(want, key=str)
+    assert len({g.feature for g in got if g.doc_id == 4}) == 1
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert media.op4_media(spark, str(tmp_path)).count() == 0
+    assert media.media_features(spark.createDataFrame([], "id long, image binary")).count() == 0
