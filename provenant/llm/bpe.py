@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import DROPS, map_rows, record, table
+from .common import DROPS, byte_slices, map_rows, record, table
 
 #: White space for str.split() but not for the tokenizer's pattern.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -43,8 +43,6 @@ _ODD = r"[^\x00-\x1b\x20-\x{84}\x{86}-\x{9f}\x{a1}-\x{12f}\x{131}-\x{24f}]|<\|"
 _APART = r"'(?:s|t|re|ve|m|ll|d)|[^\t-\r \pL\pN]+|\pN"
 #: The vocabulary file's pattern that `_APART` is written for.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Bytes of text that are encoded together, but for a longer text.
-BATCH_BYTES = 8 << 20
 #: Distance of a symbol that ends a word from the same symbol inside it.
 _FINAL = 1024
 #: Entries that one worker keeps between batches; when there are twice as many, the half not used for longest goes.
@@ -372,17 +370,6 @@ class TrieBpe:
         return b" ".join(map(self._table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def byte_slices(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with at most so many bytes of text, but for a longer text."""
-    end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        before = int(end[at - 1]) if at else 0
-        n = max(1, int(np.searchsorted(end, before + most, "right")) - at)
-        yield batch.slice(at, n)
-        at += n
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TrieBpe:
     """One encoder, with its caches, for each worker process."""

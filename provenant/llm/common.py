@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +104,21 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of text that are worked on together, but for a longer text.
+BATCH_BYTES = 8 << 20
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with at most so many bytes of text, but for a longer text."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(end[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(end, before + most, "right")) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 def record(**columns) -> pa.RecordBatch:
     """A record batch of named Arrow arrays."""
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

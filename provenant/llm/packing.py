@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_slices, default_vocabulary, encoder
-from .common import sent_if_small, table, written
+from .bpe import default_vocabulary, encoder
+from .common import byte_slices, sent_if_small, table, written
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1

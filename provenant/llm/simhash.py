@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, discard, drop_caches, join_narrow, keep_first, map_rows, numbered, record, sent_if_small, table, whole_groups, written
+from .common import ROW, byte_slices, discard, drop_caches, join_narrow, keep_first, map_rows, numbered, record, sent_if_small, table, whole_groups, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -374,8 +374,10 @@ WIDE_RADIUS = 27
 #: Bits of a set's parities; two sets differ in at least as many members as their parities in bits.
 PARITIES = 256
 _PARITY = [f"p{k}" for k in range(PARITIES // 64)]
-#: Texts of one bucket from which on it is split, and its member put last in the order of members.
-CROWD = 8_192
+#: Texts of one bucket above which it is split, and its member put last in the order of members.
+CROWD = 4_096
+#: Texts looked at together for members that many of them share, and how many must.
+_LOOK, _MANY = 4_096, 8
 #: Members put last at most, the most frequent ones: 4 MB for each executor.
 LATE = 500_000
 #: Times that members are put last, at most; more would only save time.
@@ -428,24 +430,41 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """(row, lo, hi, k0, k1, n, p0..) of (row, text): fingerprint, the set's own hash, size and parities."""
+    """(row, lo, hi, k0, k1, n, p0.., often) of (row, text): fingerprint, the set's own hash, size and parities.
 
-    def make():
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            hashes = [shingle_hashes(t or "") for t in batch.column(1).to_pylist()]
-            sets = [_members(x) for x in hashes]
-            bits = np.stack([_majority(x) for x in hashes])
-            own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
-            odd = np.stack([_parities(x) for x in sets])
-            parities = {c: pa.array(odd[:, k]) for k, c in enumerate(_PARITY)}
-            yield record(
-                row=batch.column(0), lo=pa.array(bits[:, 0]), hi=pa.array(bits[:, 1]), k0=pa.array(own[:, 0]), k1=pa.array(own[:, 1]),
-                n=pa.array([len(x) for x in sets], pa.int64()), **parities,
-            )
-
-        return step
+    `often` has, at one row of each batch, the members that several texts of the batch share, and how many do.
+    """
 
-    return map_rows(rows, make, ", ".join(f"{c} long" for c in ("row", "lo", "hi", "k0", "k1", "n", *_PARITY)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
+        for batch in batches:
+            for at in range(0, batch.num_rows, _LOOK):
+                for part in byte_slices(batch.slice(at, _LOOK), 1):
+                    yield describe(part)
+
+    def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [shingle_hashes(t or "") for t in batch.column(1).to_pylist()]
+        sets = [_members(x) for x in hashes]
+        bits = np.stack([_majority(x) for x in hashes])
+        own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+        odd = np.stack([_parities(x) for x in sets])
+        parities = {c: pa.array(odd[:, k]) for k, c in enumerate(_PARITY)}
+        member, count = np.unique(np.concatenate(sets), return_counts=True)
+        member, count = member[count >= _MANY], count[count >= _MANY]
+        bounds = pa.array([0, *[len(member)] * len(sets)], pa.int32())
+        often = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(member), pa.array(count)], ["h", "n"]))
+        return record(
+            row=batch.column(0), lo=pa.array(bits[:, 0]), hi=pa.array(bits[:, 1]), k0=pa.array(own[:, 0]), k1=pa.array(own[:, 1]),
+            n=pa.array([len(x) for x in sets], pa.int64()), **parities, often=often,
+        )
+
+    columns = ", ".join(f"{c} long" for c in ("row", "lo", "hi", "k0", "k1", "n", *_PARITY))
+    return rows.mapInArrow(run, f"{columns}, often array<struct<h: long, n: long>>")
+
+
+def _hottest(counts: DataFrame, most: int) -> np.ndarray:
+    """The most frequent members of (h, n), `most` of them at most."""
+    return counts.orderBy(F.desc("n"), "h").limit(max(0, most)).select("h").toPandas()["h"].to_numpy(np.int64)
 
 
 def prefix_length(n: int) -> int:
@@ -494,13 +513,14 @@ def shared_members(members: DataFrame) -> DataFrame:
     return members.repartition("h").sortWithinPartitions("h").mapInArrow(several, "h long, node long")
 
 
-def shared_prefixes(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def shared_prefixes(texts: DataFrame, late: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(node, top, members), (h, node) of shared members, and (h, n) of those that over CROWD texts share.
 
     Any one order of members loses no pair.  Members that very many texts share are put last,
-    so they count for those texts only that consist of such members by four parts in five.
+    so they count for those texts only that consist of such members by four parts in five:
+    `late` has those known to be frequent, sorted, others are added as they show.
     """
-    late, before = np.zeros(0, np.int64), None
+    before = None
     for k in range(_ROUNDS + 1):
         lists = written(prefixes(texts, late), "similar-prefixes")
         shared = written(shared_members(lists.select(F.explode("members").alias("h"), "node")), "similar-shared")
@@ -508,7 +528,7 @@ def shared_prefixes(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         rows = crowds.agg(F.sum("n")).first()[0] or 0
         if k == _ROUNDS or not rows or before is not None and 2 * rows > before:
             break
-        hot = crowds.orderBy(F.desc("n"), "h").limit(max(0, LATE - len(late))).select("h").toPandas()["h"].to_numpy(np.int64)
+        hot = _hottest(crowds, LATE - len(late))
         if not len(np.setdiff1d(hot, late)):
             break
         late, before = np.union1d(late, hot), rows
@@ -680,7 +700,8 @@ def similar_rows(rows: DataFrame) -> DataFrame:
     nodes = written(facts.groupBy("k0", "k1").agg(F.min("row").alias("node"), *first), "similar-nodes")
     gone = written(facts.select(F.col("row").alias("node")).join(nodes.select("node"), "node", "left_anti"), "similar-gone")
     texts = texts.join(sent_if_small(gone), "node", "left_anti")
-    lists, shared, crowds = shared_prefixes(texts)
+    often = facts.select(F.inline("often")).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > CROWD // 2)
+    lists, shared, crowds = shared_prefixes(texts, np.sort(_hottest(often, LATE)))
     known = written(nodes.join(lists.select("node", "top"), "node").select("node", "lo", "hi", "n", "top", *_PARITY), "similar-known")
     held = written(join_narrow(shared, known, "node"), "similar-held")
     discard(lists, shared)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SENT_ROWS, drop_caches, map_rows, record, table, whole_groups, written
+from .common import SENT_ROWS, drop_caches, join_narrow, map_rows, record, table, whole_groups, written
 
 DEPTH = 400
 #: Words of a repeated stretch, where units are words.
@@ -245,9 +245,9 @@ def _count_windows(border: DataFrame, unit: Unit) -> DataFrame:
     one = border.groupBy("ahash", "rhash").agg(F.first("place").alias("place"), F.first("windows").alias("windows"), F.sum("copies").alias("copies"), F.first("content").alias("content"))
     one = one.select("ahash", "rhash", "place", "windows", "copies", "content")
     rows = map_rows(one, make, "ahash long, offset int, digest binary, rhash long, first int, copies long", 256)
-    key = ["ahash", "offset", "digest"]
-    twice = rows.groupBy(*key).agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
-    return rows.join(twice, key, "left_semi").select("ahash", "rhash", "first", F.lit(1).alias("windows"))
+    rows = written(rows.withColumn("key", F.struct("ahash", "offset", "digest")).drop("offset", "digest"), "crowd-windows")
+    twice = written(rows.groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1").select("key"), "crowd-twice")
+    return join_narrow(rows, twice, "key").select("ahash", "rhash", "first", F.lit(1).alias("windows"))
 
 
 # -- documents --------------------------------------------------------------
