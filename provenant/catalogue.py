@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.lattice import LabelIntersection, LabelUnion, MinLevel
-from .operators import map_reduce, map_reduce_columns, score
-from .plans import from_cells, label, label_table, lineage_edges, track
+from .operators import map_reduce, map_reduce_columns, precision_recall, score
+from .plans import from_cells, label, label_table, lineage, lineage_edges, track
 from .session import ProvenanceSession
 from .streaming import windowed, write_tracked
 
@@ -349,13 +349,12 @@ def except_tags(t):
 # -- joins ----------------------------------------------------------------------
 
 _JOINED = """SELECT o_orderkey, false AS o_orderkey__tag, o_totalprice, coalesce(o_orderstatus = 'F', false) AS o_totalprice__tag, c_name, c_name IS NOT NULL AS c_name__tag
-  FROM orders {how} JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey"""
+  FROM orders {how} JOIN customer ON o_custkey = c_custkey AND c_mktsegment <> 'BUILDING'"""
 
 
 def _joined(t, how: str):
-    people = t.customer.where("c_custkey % 3 <> 0")
-    orders = t.orders.where("o_custkey % 5 <> 0") if how in ("right", "full") else t.orders
-    return flat(orders.join(people, c("o_custkey") == c("c_custkey"), how).select("o_orderkey", "o_totalprice", "c_name"))
+    on = (c("o_custkey") == c("c_custkey")) & (c("c_mktsegment") != "BUILDING")  # so that both sides have rows without a partner
+    return flat(t.orders.join(t.customer, on, how).select("o_orderkey", "o_totalprice", "c_name"))
 
 
 @query(_JOINED.format(how="INNER"))
@@ -368,12 +367,12 @@ def join_left(t):
     return _joined(t, "left")
 
 
-@query(_JOINED.format(how="RIGHT").replace("FROM orders", "FROM (SELECT * FROM orders WHERE o_custkey % 5 <> 0) o"))
+@query(_JOINED.format(how="RIGHT"))
 def join_right(t):
     return _joined(t, "right")
 
 
-@query(_JOINED.format(how="FULL").replace("FROM orders", "FROM (SELECT * FROM orders WHERE o_custkey % 5 <> 0) o"))
+@query(_JOINED.format(how="FULL"))
 def join_full(t):
     return _joined(t, "full")
 
@@ -634,6 +633,31 @@ def udtf_split(t):
     return ProvenanceSession(t.spark).sql(f"SELECT c_custkey, part FROM {{customer}}, LATERAL {name}(c_name)", customer=t.customer).to_flat()
 
 
+@query("""SELECT o_orderkey, false AS o_orderkey__tag, lag(v IGNORE NULLS) OVER w AS p, coalesce(lag(CASE WHEN v IS NOT NULL THEN f END IGNORE NULLS) OVER w, false) AS p__tag,
+  lead(v, 2) OVER w AS q, coalesce(lead(f, 2) OVER w, false) AS q__tag
+  FROM (SELECT o_orderkey, o_custkey, o_orderstatus = 'F' AS f, CASE WHEN o_orderpriority > '3' THEN o_totalprice END AS v FROM orders)
+  WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+def window_lag_ignore_nulls(t):
+    text = """SELECT o_orderkey, lag(v) IGNORE NULLS OVER w AS p, lead(v, 2) OVER w AS q
+      FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority > '3' THEN o_totalprice END AS v FROM {orders}) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)"""
+    return ProvenanceSession(t.spark).sql(text, orders=t.orders).to_flat()
+
+
+@query("""SELECT o_orderkey, false AS o_orderkey__tag, coalesce(lag(CAST(o_orderkey AS DOUBLE)) OVER w, o_totalprice) AS p, row_number() OVER w = 1 AND o_orderstatus = 'F' AS p__tag
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+def window_lag_default(t):
+    text = "SELECT o_orderkey, lag(CAST(o_orderkey AS DOUBLE), 1, o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM {orders}"
+    return ProvenanceSession(t.spark).sql(text, orders=t.orders).to_flat()
+
+
+@query("SELECT c_custkey, false AS c_custkey__tag, upper(c_name) AS u, true AS u__tag, c_acctbal + 1 AS a, false AS a__tag FROM customer")
+def udf_nested_field(t):
+    """User functions on fields of a struct, one of which is labelled."""
+    people = label(t.raw("customer").select("c_custkey", F.struct("c_name", "c_acctbal").alias("who")), ["who.c_name"])
+    upper, plus = F.udf(lambda x: x.upper(), "string"), F.udf(lambda x: x + 1, "double")
+    return flat(people.select("c_custkey", upper("who.c_name").alias("u"), plus("who.c_acctbal").alias("a")))
+
+
 # -- map and reduce -------------------------------------------------------------------
 
 
@@ -669,6 +693,38 @@ def map_reduce_fallback(t):
     return flat(map_reduce(df, lambda x: (str(x[0]).upper(), 1), lambda a, b: a + b, "k string, v long"))
 
 
+@query("SELECT 'some' AS k, true AS k__tag, count(*) AS v, true AS v__tag FROM orders")
+def map_reduce_branch(t):
+    """A branch on a column decides the key, which recording can't see: the table's tag."""
+    df = t.orders.select("o_orderpriority", "o_totalprice")
+    return flat(map_reduce(df, lambda x: ("none" if x[1] is None else "some", 1), lambda a, b: a + b, "k string, v long"))
+
+
+@query("""SELECT o_orderpriority AS k, false AS k__tag, max(o_totalprice) AS m, true AS m__tag, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS w, true AS w__tag, count(*) AS n, false AS n__tag
+  FROM orders GROUP BY 1""")
+def map_reduce_across_positions(t):
+    """The pair of the larger first value wins: the second depends on the first as well."""
+    df = t.orders.select("o_orderpriority", "o_totalprice", "o_orderkey")
+    pairs = map_reduce(df, lambda x: (x[0], (x[1], x[2])), lambda a, b: a if a > b else b, "k string, v struct<m: double, w: long>")
+    counts = map_reduce(df, lambda x: (x[0], 1), lambda a, b: a + b, "k string, n long")
+    return flat(pairs.join(counts, "k").select("k", "v.m", "v.w", "n"))
+
+
+@query("SELECT * FROM (VALUES ('k', 'orders.o_orderpriority'), ('m', 'orders.o_totalprice'), ('m', 'orders.o_orderkey')) AS e(target, source)")
+def map_reduce_lineage(t):
+    df = t.orders.select("o_orderpriority", "o_totalprice", "o_orderkey")
+    out = map_reduce(df, lambda x: (x[0], (x[1], x[2])), lambda a, b: (a[0] + b[0], a[1]), "k string, v struct<m: double, w: long>")
+    return lineage_edges(out.select("k", (c("v.m") + c("v.w")).alias("m")))
+
+
+@query("""SELECT o_orderpriority AS k, 9223372036854775807 AS k__tag, max(o_totalprice) AS v, min(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 5 END) AS v__tag FROM orders GROUP BY 1""")
+def map_reduce_lattice(t):
+    session = ProvenanceSession(t.spark, lattice=MinLevel())
+    df = session.label(t.raw("orders"), {"o_totalprice": "case when o_orderstatus = 'F' then 1L else 5L end"}).select("o_orderpriority", "o_totalprice")
+    out = session.map_reduce(df, lambda x: (x[0], x[1]), lambda a, b: max(a, b), "k string, v double").to_flat()
+    return out.withColumn("v__tag", c("v__tag").cast("int"))
+
+
 @query("SELECT c_custkey, true AS c_custkey__tag, c_mktsegment, true AS c_mktsegment__tag FROM customer")
 def fallback_coarse(t):
     return flat(t.customer.mapInPandas(lambda it: (p[["c_custkey", "c_mktsegment"]] for p in it), "c_custkey long, c_mktsegment string"))
@@ -713,6 +769,35 @@ def sql_join_agg(t):
     return ProvenanceSession(t.spark).sql(text, orders=t.orders, customer=t.customer).to_flat()
 
 
+_SETS = """SELECT l_returnflag, {f} l_linestatus, {f2} round(sum(l_extendedprice), 1) AS s, {st} CAST(grouping(l_returnflag) AS BIGINT) AS g, {gt} count(*) AS n{nt}
+  FROM {t} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())"""
+
+
+@query(_SETS.format(f="false AS l_returnflag__tag,", f2="false AS l_linestatus__tag,", st="bool_or(l_returnflag = 'R') AS s__tag,", gt="false AS g__tag,", nt=", false AS n__tag", t="lineitem").replace("(l_returnflag = 'R')", "(r)").replace("FROM lineitem", "FROM (SELECT *, l_returnflag = 'R' AS r FROM lineitem)"))
+def grouping_sets(t):
+    return ProvenanceSession(t.spark).sql(_SETS.format(f="", f2="", st="", gt="", nt="", t="{lineitem}"), lineitem=t.lineitem).to_flat()
+
+
+@query("""SELECT l_orderkey AS k, false AS k__tag, l_linenumber AS n, false AS n__tag, l_extendedprice AS a, l_returnflag = 'R' AS a__tag, q, false AS q__tag FROM lineitem
+  JOIN (SELECT l_orderkey AS k, l_linenumber AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) ON l_orderkey = k AND l_linenumber = n""")
+def join_several_keys(t):
+    """Joined on a list of names, given by the keyword."""
+    lines = t.lineitem.withColumnsRenamed({"l_orderkey": "k", "l_linenumber": "n"})
+    sums = lines.groupBy("k", "n").agg(F.sum("l_quantity").alias("q"))
+    return flat(lines.join(sums, on=["k", "n"], how="inner").select("k", "n", c("l_extendedprice").alias("a"), "q"))
+
+
+@query("SELECT s_suppkey, false AS s_suppkey__tag, s_name, false AS s_name__tag, s_nationkey, false AS s_nationkey__tag, s_acctbal, true AS s_acctbal__tag FROM supplier")
+def select_star(t):
+    return flat(t.supplier.select("*").repartition(3).coalesce(2).cache())
+
+
+@query("""SELECT o_orderpriority AS p, 2147483647 AS p__tag, max(o_totalprice) AS m, min(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 5 END) AS m__tag FROM orders GROUP BY 1""")
+def lattice_min_int(t):
+    df = label(t.raw("orders"), {"o_totalprice": "case when o_orderstatus = 'F' then 1 else 5 end"})
+    return flat(df.groupBy(c("o_orderpriority").alias("p")).agg(F.max("o_totalprice").alias("m")), lattice=MinLevel("int"))
+
+
 @query("SELECT c_name, true AS c_name__tag FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def sql_exists(t):
     text = "SELECT c_name FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 300000)"
@@ -732,14 +817,35 @@ def sql_scalar_subquery(t):
   FROM events GROUP BY 1, 3""")
 def stream_window_sum(t):
     """A stream over the table, run until all is read; windows that still are open are written at its end."""
+    out = _streamed(t, keys=("event_type",))
+    return out.select(F.unix_seconds("start").alias("day"), c("start__tag").alias("day__tag"), "event_type", "event_type__tag", F.round("total", 2).alias("total"), "total__tag", "n", "n__tag")
+
+
+def _streamed(t, **window) -> DataFrame:
     source = t.raw("events")
     stream = t.spark.readStream.schema(source.schema).parquet(f"{t.sf_dir}/events.parquet*")
-    df = windowed(label(stream, {"value": "event_type = 'purchase'"}), "ts", "value", keys=("event_type",))
+    df = windowed(label(stream, {"value": "event_type = 'purchase'"}), "ts", "value", **window)
     name = f"stream_{os.urandom(6).hex()}"
-    done = write_tracked(df, "memory", mode="complete", queryName=name)
-    done.awaitTermination()
-    out = t.spark.table(name)
-    return out.select(F.unix_seconds("start").alias("day"), c("start__tag").alias("day__tag"), "event_type", "event_type__tag", F.round("total", 2).alias("total"), "total__tag", "n", "n__tag")
+    write_tracked(df, "memory", mode="complete", queryName=name).awaitTermination()
+    return t.spark.table(name)
+
+
+@query("""SELECT CAST(epoch(s) AS BIGINT) AS start, false AS start__tag, round(sum(value), 2) AS total, bool_or(event_type = 'purchase') AS total__tag, count(value) AS n, bool_or(event_type = 'purchase') AS n__tag
+  FROM (SELECT *, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM events) GROUP BY s""")
+def stream_sliding_windows(t):
+    """Windows of two days that begin every day."""
+    out = _streamed(t, size="2 days", slide="1 day")
+    return out.select(F.unix_seconds("start").alias("start"), "start__tag", F.round("total", 2).alias("total"), "total__tag", "n", "n__tag")
+
+
+@query("""SELECT event_type, false AS event_type__tag, CAST(floor(epoch(min(ts))) AS BIGINT) AS first, false AS first__tag, count(value) AS n, event_type = 'purchase' AS n__tag
+  FROM (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM
+    (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events))
+  GROUP BY event_type, session""")
+def stream_session_windows(t):
+    """Sessions of each type that end after a gap of six hours."""
+    out = _streamed(t, size="6 hours", keys=("event_type",), session=True)
+    return out.select("event_type", "event_type__tag", F.unix_seconds("start").alias("first"), c("start__tag").alias("first__tag"), "n", "n__tag")
 
 
 @query("""SELECT CAST(sum(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN lang <> 'de' THEN 1 ELSE 0 END) + count(*) AS BIGINT) AS tn, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn FROM documents""")
@@ -749,6 +855,26 @@ def score_cells(t):
     return score(track(df).to_cells(), {"text": True, "source": False})
 
 
+_CASES = """SELECT CAST(count(*) FILTER (WHERE lang = 'de') AS {k}) AS tp, CAST(count(*) FILTER (WHERE lang <> 'de') + count(*) AS {k}) AS tn, CAST(0 AS {k}) AS fp, CAST(0 AS {k}) AS fn FROM documents"""
+
+
+@query(_CASES.format(k="BIGINT"))
+def score_dotted(t):
+    """Cells of fields of a struct, named by dots."""
+    return _scored(t)
+
+
+def _scored(t) -> DataFrame:
+    marked = t.raw("documents").select(F.struct(F.when(c("lang") == "de", F.lit("[taint] x")).otherwise("x").alias("body"), "source").alias("mail"), "lang")
+    df = label(marked, {"mail.body": "lang = 'de'"}).select("mail")
+    return score(track(df).to_cells(), {"mail.body": True, "mail.source": False})
+
+
+@query("SELECT CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall")
+def score_precision_recall(t):
+    return precision_recall(_scored(t))
+
+
 @query("SELECT * FROM (VALUES ('c_name', 'customer.c_name'), ('s', 'orders.o_totalprice')) AS e(target, source)")
 def lineage_columns(t):
     sums = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("s"))
@@ -760,8 +886,59 @@ def sink_and_source_cells(t):
     """Cells written as JSON and read with their tags."""
     from .sources import read_cells, write_cells
 
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{shared}/cells-{os.urandom(6).hex()}"
+    path = _folder(t, "cells")
     tracked = track(t.orders.select("o_orderkey", "o_totalprice"))
     write_cells(tracked, "json", path)
     return flat(read_cells(t.spark, "json", path, tracked.to_cells().schema).where("o_totalprice > 1000"))
+
+
+def _folder(t, name: str) -> str:
+    """A new path in the folder that driver and executors share; a local session may use its own."""
+    shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="provenant-")
+    return f"{shared}/{name}-{os.urandom(6).hex()}"
+
+
+_NATIONS = "SELECT n_nationkey, false AS n_nationkey__tag, n_name, true AS n_name__tag FROM nation"
+
+
+@query(_NATIONS)
+def source_csv(t):
+    from .sources import read_csv
+
+    path = _folder(t, "csv")
+    t.raw("nation").write.csv(path, header=True)
+    return flat(read_csv(t.spark, path, ["n_name"], "n_nationkey int, n_name string, n_regionkey int", header=True).select("n_nationkey", "n_name"))
+
+
+@query(_NATIONS)
+def source_tsv(t):
+    from .sources import read_tsv
+
+    path = _folder(t, "tsv")
+    t.raw("nation").write.csv(path, sep="\t")
+    return flat(read_tsv(t.spark, path, ["n_name"], "n_nationkey int, n_name string, n_regionkey int").select("n_nationkey", "n_name"))
+
+
+@query(_NATIONS)
+def source_named_dataset(t):
+    from .sources import read_dataset, register_dataset
+
+    register_dataset("nations", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    return flat(read_dataset(t.spark, "nations", t.sf_dir, labels=["n_name"]).select("n_nationkey", "n_name"))
+
+
+@query("SELECT 'customer.parquet' AS file, 0 AS step")
+def lineage_source_path(t):
+    """The path that a query's input came from, as its first step tells."""
+    first = lineage(t.customer.select("c_name"))["steps"][0]
+    return t.spark.createDataFrame([(first["input_dir"].rsplit("/", 1)[-1], first["id"])], "file string, step int")
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_totalprice > 1000")
+def count_action(t):
+    n = track(t.orders.where("o_totalprice > 1000")).count()
+    return t.spark.createDataFrame([(n,)], "n long")

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Lattice:
@@ -30,6 +31,18 @@ class Lattice:
         """Aggregate a tag over rows; null tags don't count, no rows give the identity."""
         raise NotImplementedError
 
+    def data_type(self) -> T.DataType:
+        """The type of a tag."""
+        raise NotImplementedError
+
+    def nothing(self):
+        """`identity()` as a Python value."""
+        raise NotImplementedError
+
+    def merge(self, a, b):
+        """Combine two tags that are Python values; None counts as the identity."""
+        raise NotImplementedError
+
     def cleaned(self, tag: Column) -> Column:
         """Never null."""
         return F.coalesce(tag, self.identity())
@@ -50,6 +63,15 @@ class BoolOr(Lattice):
     def over_rows(self, tag):
         return F.coalesce(F.bool_or(tag), self.identity())
 
+    def data_type(self):
+        return T.BooleanType()
+
+    def nothing(self):
+        return False
+
+    def merge(self, a, b):
+        return bool(a or b)
+
 
 class MinLevel(Lattice):
     """The lowest of the levels, such as trust or days of retention; `kind` is int or bigint."""
@@ -70,6 +92,15 @@ class MinLevel(Lattice):
     def over_rows(self, tag):
         return F.coalesce(F.min(tag), self.identity())
 
+    def data_type(self):
+        return T.LongType() if self.kind == "bigint" else T.IntegerType()
+
+    def nothing(self):
+        return self.highest
+
+    def merge(self, a, b):
+        return min((x for x in (a, b) if x is not None), default=self.highest)
+
 
 class LabelUnion(Lattice):
     """Sorted sets of labels that reach a cell."""
@@ -86,6 +117,15 @@ class LabelUnion(Lattice):
     def over_rows(self, tag):
         return F.array_sort(F.array_distinct(F.flatten(F.collect_set(tag))))
 
+    def data_type(self):
+        return T.ArrayType(T.StringType())
+
+    def nothing(self):
+        return []
+
+    def merge(self, a, b):
+        return sorted({*(a or ()), *(b or ())})
+
 
 class LabelIntersection(Lattice):
     """Labels, out of a fixed universe, that every source of a cell has."""
@@ -107,6 +147,15 @@ class LabelIntersection(Lattice):
         held = [F.when(F.coalesce(F.bool_and(F.array_contains(tag, x)), F.lit(True)), F.lit(x)) for x in self.universe]
         return F.array_compact(F.array(*held)).cast("array<string>")
 
+    def data_type(self):
+        return T.ArrayType(T.StringType())
+
+    def nothing(self):
+        return list(self.universe)
+
+    def merge(self, a, b):
+        return sorted(set(self.universe if a is None else a) & set(self.universe if b is None else b))
+
 
 BOOL_OR = BoolOr()
 MIN_LONG = MinLevel()

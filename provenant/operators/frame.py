@@ -85,6 +85,14 @@ class Tracked:
     def collect(self) -> list:
         return self.values().collect()
 
+    def show(self, n: int = 20, truncate: bool | int = True, vertical: bool = False) -> None:
+        """Print the first rows, every column beside its tag."""
+        self.to_flat().show(n, truncate, vertical)
+
+    def printSchema(self, level: int | None = None) -> None:
+        """Print the schema of the cells."""
+        self.to_cells().printSchema(level)
+
     def explain_tags(self) -> str:
         """Each column's tag as an expression over the tracked frame."""
         return "\n".join(f"{n}: {self._tag(t)._jc.toString()}" for n, t in zip(self.columns, self._tags, strict=True))

@@ -2,24 +2,24 @@
 
 `map_reduce_columns` takes columns and aggregates and stays in the optimizer.
 `map_reduce` takes Python functions, as `rdd.map(...).reduceByKey(...)` does.  Which columns a
-position of the map function's result depends on is found by calling it with a row that
-records what is read; where that can't work, as with branches on values, all positions get
-the table's tag.
+position of the map function's result depends on, and which positions of the values one of
+the reduced value does, is found by calling the functions with values that record what is
+read (see `recording`).  Where that can't tell, as with branches on values, a mapped position
+gets the table's tag, and a reduced one the tags of all positions.
 """
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import Untrackable
 from ..functions.lattice import BOOL_OR, Lattice
-from ..plans.labels import label
+from ..plans.labels import derived, label
 from ..plans.walker import track
+from .recording import REFUSALS, Read, Row, columns_of, recording
 
 
 def map_reduce_columns(df: DataFrame, key: list[Column], value: list[tuple[Callable[[Column], Column], Column]]) -> DataFrame:
@@ -31,64 +31,6 @@ def map_reduce_columns(df: DataFrame, key: list[Column], value: list[tuple[Calla
     return df.select(*keys, *values).groupBy(*names).agg(*reduced)
 
 
-class _Read:
-    """A value of a recorded row: operators pass on which columns were read."""
-
-    def __init__(self, columns: frozenset[int]):
-        self.columns = columns
-
-    def _refuse(self, *_):
-        raise Untrackable("the map function looks into a value")
-
-    __bool__ = __int__ = __float__ = __len__ = __iter__ = __index__ = __hash__ = __str__ = __format__ = __contains__ = _refuse
-
-    def __getattr__(self, name):
-        if name.startswith("__"):
-            raise AttributeError(name)
-        return lambda *args: _Read(_columns([self, *args]))
-
-
-def _columns(x) -> frozenset[int]:
-    if isinstance(x, _Read):
-        return x.columns
-    if isinstance(x, (list, tuple, set)):
-        return frozenset().union(*map(_columns, x)) if x else frozenset()
-    if isinstance(x, dict):
-        return _columns([*x.keys(), *x.values()])
-    return frozenset()
-
-
-def _operator(name: str):
-    return lambda self, *others: _Read(_columns([self, *others]))
-
-
-for _name in dir(operator):
-    if _name.startswith("__") and _name.endswith("__") and _name not in ("__all__", "__builtins__", "__cached__", "__doc__", "__file__", "__loader__", "__name__", "__package__", "__spec__", "__contains__", "__index__"):
-        setattr(_Read, _name, _operator(_name))
-        setattr(_Read, f"__r{_name[2:]}", _operator(_name))
-
-
-class _Row:
-    def __init__(self, names: list[str]):
-        self._names = names
-
-    def __getitem__(self, at):
-        if isinstance(at, slice):
-            return tuple(_Read(frozenset([k])) for k in range(len(self._names))[at])
-        return _Read(frozenset([self._names.index(at) if isinstance(at, str) else range(len(self._names))[at]]))
-
-    def __getattr__(self, name):
-        if name.startswith("_") or name not in self._names:
-            raise AttributeError(name)
-        return self[name]
-
-    def __iter__(self):
-        return iter(self[:])
-
-    def __len__(self):
-        return len(self._names)
-
-
 def _tuple(x) -> tuple:
     return tuple(x) if isinstance(x, (tuple, list)) else (x,)
 
@@ -100,8 +42,7 @@ def map_reduce(
 
     `map_row` returns (key, value), each one value or a tuple; `schema` has two fields, structs
     where tuples are.  Without a schema, or with a list of names, types are inferred from a first
-    row, which takes a run of its own; names are _1 and _2 then.  Only boolean tags go through
-    the RDD.
+    row, which takes a run of its own; names are _1 and _2 then.
     """
     spark = df.sparkSession
     if isinstance(schema, str):
@@ -111,48 +52,79 @@ def map_reduce(
         schema = (pairs.toDF() if schema is None else pairs.toDF(list(schema))).schema
     if len(schema.fields) != 2:
         raise ValueError("the schema of keys and values has two fields")
-    if lattice is not BOOL_OR:
-        raise ValueError("only boolean tags go through an RDD")
-    tracked = track(df)
-    try:
-        key, value = map_row(_Row(df.columns))
-        reads = [[sorted(_columns(x)) for x in _tuple(part)] for part in (key, value)]
-        source = tracked.to_flat()
-        tags = None
-    except Exception:  # what the function does with a row that has no values is its own affair
-        reads = [[[] for _ in _tuple_width(f)] for f in schema.fields]
-        source, tags = tracked.to_flat(), tracked.table_tag().first()["tag"]
-    width = [len(r) for r in reads]
+    tracked = track(df, lattice)
+    names = list(df.columns)
+    width = [len(_tuple_width(f)) for f in schema.fields]
+    reads = _mapped(map_row, names)
+    source = tracked.to_flat()
+    if reads is None or [len(r) for r in reads] != width:
+        reads = None
+        source = source.crossJoin(F.broadcast(tracked.table_tag().select(F.col("tag").alias("__table"))))  # one row
+    from_values = _reduced(reduce_values, width[1])
+    nothing, merge = lattice.nothing(), lattice.merge
+
+    def merged(tags: list):
+        out = nothing
+        for t in tags:
+            out = merge(out, t)
+        return out
 
     def one(row):
         cells = tuple(row)
-        values, flags = cells[::2], cells[1::2]
-        plain = _value_row(df_names, values)
-        k, v = map_row(plain)
-        t = tuple(any(flags[c] for c in r) for part in reads for r in part)
+        values, flags = cells[: 2 * len(names) : 2], cells[1 : 2 * len(names) : 2]
+        k, v = map_row(_value_row(names, values))
+        if reads is None:
+            t = (cells[-1],) * sum(width)
+        else:
+            t = tuple(merged([flags[c] for c in r]) for part in reads for r in part)
         return _hashable(_tuple(k)), (_tuple(v), t)
 
-    df_names = list(df.columns)
-
     def both(a, b):
         x, y = (v[0] if width[1] == 1 else v for v in (a[0], b[0]))
-        return _tuple(reduce_values(x, y)) if width[1] > 1 else (reduce_values(x, y),), tuple(map(operator.or_, a[1], b[1]))
+        return _tuple(reduce_values(x, y)) if width[1] > 1 else (reduce_values(x, y),), tuple(map(merge, a[1], b[1]))
 
     def flat(kv):
         k, (v, t) = kv
         shown = [p if isinstance(f.dataType, T.StructType) else p[0] for p, f in zip((k, v), schema.fields, strict=True)]
-        return (*shown, *t)
+        own = t[width[0] :]
+        return (*shown, *t[: width[0]], *(merged([own[i] for i in r]) for r in from_values))
 
     hidden = [f"__mr{i}" for i in range(sum(width))]
-    full = T.StructType([*schema.fields, *(T.StructField(h, T.BooleanType()) for h in hidden)])
+    full = T.StructType([*schema.fields, *(T.StructField(h, lattice.data_type()) for h in hidden)])
     out = spark.createDataFrame(source.rdd.map(one).reduceByKey(both).map(flat), full)
-    spec, at = {}, 0
-    for f, w in zip(schema.fields, width, strict=True):
-        names = [f"{f.name}.{g.name}" for g in f.dataType.fields] if isinstance(f.dataType, T.StructType) else [f.name]
-        for i, name in enumerate(names):
-            spec[name] = F.col(hidden[at + min(i, w - 1)]) if tags is None else F.lit(bool(tags))
+    every = frozenset(range(len(names)))
+    spec, origins, at = {}, {}, 0
+    for f, w, part in zip(schema.fields, width, reads or [[every] * w for w in width], strict=True):
+        paths = [f"{f.name}.{g.name}" for g in f.dataType.fields] if isinstance(f.dataType, T.StructType) else [f.name]
+        for i, path in enumerate(paths):
+            spec[path] = F.col(hidden[at + i])
+        origins[f.name] = sorted({names[c] for r in part for c in r})
         at += w
-    return label(out, spec).select(*schema.names)
+    return label(derived(out, df, origins), spec).select(*schema.names)
+
+
+def _mapped(map_row: Callable, names: list[str]) -> list[list[frozenset[int]]] | None:
+    """The columns that each position of key and value depends on; None if that can't be told."""
+    try:
+        key, value = recording(map_row)(Row(names))
+        return [[columns_of(x) for x in _tuple(part)] for part in (key, value)]
+    except REFUSALS:
+        return None
+
+
+def _reduced(reduce_values: Callable, width: int) -> list[list[int]]:
+    """The positions of mapped values that each position of a reduced value depends on, over any number of steps."""
+    try:
+        row = [Read(frozenset([i])) for i in range(width)]
+        out = recording(reduce_values)(*(row[0], row[0]) if width == 1 else (tuple(row), tuple(row)))
+        needs = [set(columns_of(x)) | {i} for i, x in enumerate(_tuple(out) if width > 1 else (out,))]
+        if len(needs) != width:
+            raise ValueError
+    except REFUSALS:
+        needs = [set(range(width)) for _ in range(width)]
+    for _ in range(width):
+        needs = [set().union(*(needs[j] for j in n)) for n in needs]
+    return [sorted(n) for n in needs]
 
 
 def _tuple_width(f: T.StructField) -> range:

@@ -21,6 +21,18 @@ _next = count()
 REGISTRY: dict[str, dict[str, Column | None]] = {}
 
 
+ORIGIN = "__provenance_origin_"
+#: origin id -> (the DataFrame that rows were computed from outside of plans, {column: its columns})
+ORIGINS: dict[str, tuple[DataFrame, dict[str, list[str]]]] = {}
+
+
+def derived(df: DataFrame, source: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """`df`, computed from `source` outside of Spark's plans, for lineage; `columns` says from which columns each came."""
+    key = f"{ORIGIN}{next(_next)}"
+    ORIGINS[key] = source, columns
+    return df.alias(key)
+
+
 def leaves(name: str, kind: T.DataType) -> list[str]:
     """Dotted paths of the fields of a struct at any depth; other types are one leaf."""
     if isinstance(kind, T.StructType) and kind.fields:

@@ -409,18 +409,28 @@ class Walker:
         tag = self.join([self.expression(function, child.tags)])
         if tag is None:
             return self.join(flows)
-        catalyst = self.b.jvm.org.apache.spark.sql.catalyst.expressions
         if kind(function) in ("Lag", "Lead"):
-            at = child.frame.select(tag.alias("__tag"))
-            resolved = analyzed(at).projectList().head().child()
-            inputs = items(function.children())
-            nothing = catalyst.Literal.create(None, resolved.dataType())
-            moved = function.withNewChildren(self.b.seq([resolved, inputs[1], nothing]))
-            over = self.lattice.cleaned(self.b.column(catalyst.WindowExpression(moved, spec)))
+            over = self._moved(child, function, spec)
         else:
             over = self._row_aggregate_over(child, tag, spec)
         return self.join([over, *flows])
 
+    def _moved(self, child: Node, function, spec) -> Column:
+        """The tag of the row that lag or lead takes the value of; where there is none, the tag of the default.
+
+        A null value's tag is null, so that IGNORE NULLS passes over the same rows.
+        """
+        catalyst = self.b.jvm.org.apache.spark.sql.catalyst.expressions
+        value, offset, default = items(function.children())
+        own, other = (self.join([self.expression(e, child.tags)]) for e in (value, default))
+        tag = self.lattice.identity() if own is None else self.lattice.cleaned(own)
+        if function.ignoreNulls():
+            tag = F.when(self.b.column(value).isNotNull(), tag)
+        elsewhere = self.lattice.identity() if other is None else self.lattice.cleaned(other)
+        resolved = [e.child() for e in items(analyzed(child.frame.select(tag.alias("__tag"), elsewhere.alias("__default"))).projectList())]
+        moved = function.withNewChildren(self.b.seq([resolved[0], offset, resolved[1]]))
+        return self.lattice.cleaned(self.b.column(catalyst.WindowExpression(moved, spec)))
+
     def _row_aggregate_over(self, child: Node, tag: Column, spec) -> Column:
         """The lattice's row aggregate, each aggregate function in it over `spec`."""
         catalyst = self.b.jvm.org.apache.spark.sql.catalyst.expressions

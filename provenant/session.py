@@ -35,8 +35,8 @@ class ProvenanceSession:
         """Track SQL text over views, and over DataFrames given by name in {braces}."""
         return self.track(self.spark.sql(text, **frames))
 
-    def map_reduce(self, df: DataFrame, map_row, reduce_values, schema) -> Tracked:
-        return self.track(map_reduce(df, map_row, reduce_values, schema))
+    def map_reduce(self, df: DataFrame, map_row, reduce_values, schema=None) -> Tracked:
+        return self.track(map_reduce(df, map_row, reduce_values, schema, self.lattice))
 
     def lineage(self, df: DataFrame) -> dict:
         return lineage(df)

@@ -15,14 +15,19 @@ from ..plans.walker import track
 
 
 def windowed(
-    events: DataFrame, time: str, value: str, watermark: str = "1 hour", size: str = "1 day", slide: str | None = None, keys: tuple[str, ...] = ()
-) -> DataFrame:
-    """Sum and count of a value in windows of event time, with late data up to `watermark`."""
+    events: DataFrame, time: str, value: str, watermark: str = "1 hour", size: str = "1 day", slide: str | None = None, keys: tuple[str, ...] = (),
+    session: bool = False,
+) -> DataFrame:
+    """Sum and count of a value in windows of event time, with late data up to `watermark`.
+
+    Tumbling windows of `size`, sliding ones if `slide` is given, or sessions that end after a gap of `size`.
+    """
     timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, watermark)
+    window = F.session_window(time, size).alias("window") if session else F.window(time, size, slide).alias("window")
     return (
-        timed.groupBy(F.window(time, size, slide), *keys)
+        timed.groupBy(window, *keys)
         .agg(F.sum(value).alias("total"), F.count(value).alias("n"))
-        .select(F.col("window.start").alias("start"), *keys, "total", "n")
+        .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "total", "n")
     )
 
 

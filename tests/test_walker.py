@@ -153,3 +153,55 @@ def test_scores(spark):
     scores = score(track(df).to_cells(), {"s": True, "n": True, "l": True})
     assert scores.first().asDict() == {"tp": 2, "tn": 2, "fp": 1, "fn": 1}
     assert precision_recall(scores).first() == (2 / 3, 2 / 3)
+
+
+def _calling():
+    def kind_of(v):
+        return "none" if v is None else "some"
+
+    return lambda x: (kind_of(x[1]), 1)
+
+
+@pytest.mark.parametrize(
+    "map_row",
+    [
+        lambda x: ("none" if x[1] is None else "some", 1),
+        lambda x: (x[1] is None, 1),
+        lambda x: (isinstance(x[1], float), 1),
+        lambda x: (type(x[1]).__name__, 1),
+        lambda x: (x[1].__class__.__name__, 1),
+        lambda x: ((lambda v: v is None)(x[1]), 1),
+        _calling(),
+        lambda x: ([k for k in (1, 2) if k == x[1]] and "a" or "b", 1),
+    ],
+)
+def test_functions_that_look_into_values_get_the_table_tag(spark, secret, map_row):
+    df = spark.createDataFrame([("a", 1.0), ("b", None)], "k string, v double")
+    out = track(map_reduce(label(df, ["v"]), map_row, lambda a, b: a + b, "k string, n long")).to_flat().collect()
+    assert out and all(r.k__tag for r in out)
+
+
+def test_functions_that_can_be_looked_through(spark):
+    def doubled(v):
+        return v + v
+
+    df = label(spark.createDataFrame([("a", 1, 5), ("a", 2, 6)], "k string, v long, w long"), ["v"])
+    out = track(map_reduce(df, lambda x: (x.k.upper(), (doubled(x[2]), max(x[1], 0))), lambda a, b: (a[0] + b[0], a[1] + b[1]), "k string, v struct<a: long, b: long>"))
+    assert out.untag().collect()[0].asDict(True) == {"k": "A", "v": {"a": 22, "b": 3}}
+    row = out.to_cells().collect()[0]
+    assert (row.k.tag, row.v.a.tag, row.v.b.tag) == (False, False, True)
+
+
+@pytest.mark.parametrize("reduce_values", [lambda a, b: a if a > b else b, lambda a, b: (a[0], a[0] + b[1]), lambda a, b: (b[0] + a[0], b[0] * a[1])])
+def test_reducers_across_positions_join_their_tags(spark, reduce_values):
+    df = label(spark.createDataFrame([("a", 1, 5), ("a", 2, 6)], "k string, v long, w long"), ["v"])
+    row = track(map_reduce(df, lambda x: (x[0], (x[1], x[2])), reduce_values, "k string, v struct<a: long, b: long>")).to_cells().collect()[0]
+    assert row.v.a.tag and row.v.b.tag and not row.k.tag
+
+
+def test_shown_and_printed(spark, capsys):
+    tracked = track(label(spark.range(2), ["id"]))
+    tracked.show()
+    tracked.printSchema()
+    text = capsys.readouterr().out
+    assert "id__tag" in text and "tag: boolean" in text
