@@ -3,81 +3,95 @@
 The blended-spectrum presence kernel of two texts counts the character n-grams of one to
 four characters that occur in both, divided by the geometric mean of their numbers of
 distinct n-grams.  N-grams are hashed to a fixed number of slots; lower-cased letters
-count, other characters are word limits.  Nystroem landmarks, some texts of every language,
+(Unicode's, with their marks) count, other characters are word limits.  Nystroem landmarks, some texts of every language,
 give each text finite features K(x, Z) K(Z, Z)^(-1/2); on these, kernel ridge regression is
-solved for one language against the rest.  Texts are scored by batches: a 0/1 matrix of
-present n-grams times the landmarks' matrix, then times the projected weights.
+solved for one language against the rest.  Texts are scored by batches: a sparse 0/1 matrix
+of present n-grams times the product of the landmarks' matrix and the projected weights.
 
-The model is fitted on at most `max_train` rows, those of the smallest hash of their id,
-dealt evenly to languages; all rows are scored, from their whole text.
+The model is fitted on at most `max_train` distinct rows, for each language those of the
+smallest hash of id and text, dealt evenly to languages, so that a rare language is learnt, too;
+all rows are scored, from their whole text.
 
 Decided cases: null texts and texts without a letter are `und` with score 0; null
 languages are not learnt; with no language to learn every text is `und`; of equal scores
-the language first in alphabetical order wins; repeated rows give repeated results; extra
-columns are left out.
+the language first in alphabetical order wins; repeated rows give repeated results and are
+learnt once; extra columns are left out.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, map_rows, record, table
+from .common import fold, map_rows, record, sent_if_small, table, written
 
 MAX_TRAIN = 3_000
 LANDMARKS = 96
-SLOTS = 1 << 14
+SLOTS = 1 << 18
 LONGEST = 4
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def presence(text: str, slots: int = SLOTS) -> np.ndarray:
     """The distinct slots of a text's n-grams; none if it has no letter."""
     bare = _OTHER.sub(" ", text.lower())
-    if bare in ("", " "):
-        return np.zeros(0, np.int64)
-    codes = np.frombuffer(f" {bare} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
-    there = np.zeros(slots, np.bool_)
+    if not _LETTER.search(bare):
+        return np.zeros(0, np.int32)
+    codes = np.frombuffer(f" {bare.strip()} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
     shift = np.uint64(65 - slots.bit_length())
     rolled = np.zeros(len(codes), np.uint64)
-    for n in range(LONGEST):
+    found = []
+    for n in range(min(LONGEST, len(codes))):
         rolled = rolled[: len(codes) - n] * np.uint64(1000003) + codes[n:]
-        there[((rolled + np.uint64(n)) * _MIX[n]) >> shift] = True
-    return np.flatnonzero(there)
+        found.append((((rolled + np.uint64(n)) * _MIX[n]) >> shift).astype(np.int32))
+    every = np.concatenate(found)
+    if len(every) < slots // 16:
+        return np.unique(every)
+    there = np.zeros(slots, np.bool_)
+    there[every] = True
+    return np.flatnonzero(there).astype(np.int32)
+
 
+#: Numbers gathered at once by `product`, but for one text's.
+_GATHERED = 16_000_000
 
-def presence_matrix(slots_of: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
-    """One row of 0/1 for each text, divided by the root of its number of ones."""
-    out = np.zeros((len(slots_of), slots), np.float32)
-    for row, there in zip(out, slots_of, strict=True):
-        if len(there):
-            row[there] = len(there) ** -0.5
+
+def product(slots_of: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
+    """The texts' presence matrix, each row divided by the root of its number of ones, times `matrix` (slots x columns)."""
+    out = np.zeros((len(slots_of), matrix.shape[1]), np.float64)
+    size = np.array([len(x) for x in slots_of], np.int64)
+    own = np.flatnonzero(size)
+    part = np.cumsum(size[own]) * matrix.shape[1] // _GATHERED
+    for rows in np.split(own, np.flatnonzero(np.diff(part)) + 1) if len(own) else ():
+        begin = np.cumsum(size[rows]) - size[rows]
+        sums = np.add.reduceat(matrix[np.concatenate([slots_of[k] for k in rows])], begin, axis=0, dtype=np.float64)
+        out[rows] = sums / np.sqrt(size[rows])[:, None]
     return out
 
 
 @dataclass
 class KernelModel:
     langs: list[str]
-    landmarks: np.ndarray  # landmarks x slots
-    weights: np.ndarray  # landmarks x languages, with K(Z, Z)^(-1/2) multiplied in
+    weights: np.ndarray  # slots x languages: landmarks, K(Z, Z)^(-1/2) and ridge weights multiplied
     bias: np.ndarray
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        present = presence_matrix([presence(t) for t in texts])
-        margins = (present @ self.landmarks.T) @ self.weights + self.bias
+        slots_of = [presence(t) for t in texts]
+        margins = product(slots_of, self.weights) + self.bias
         best = margins.argmax(1)
         odds = np.exp(4.0 * (margins - margins.max(1, keepdims=True)))
-        score = (1 / odds.sum(1)).astype(np.float64)
-        blank = ~present.any(1)
+        score = 1 / odds.sum(1)
+        blank = np.array([not len(x) for x in slots_of], np.bool_)
         score[blank] = 0.0
         return ["und" if b else self.langs[k] for k, b in zip(best, blank, strict=True)], score
 
@@ -85,17 +99,23 @@ class KernelModel:
 def fit(slots_of: list[np.ndarray], langs: list[str], n_landmarks: int = LANDMARKS, ridge: float = 1e-3) -> KernelModel:
     """`slots_of`: what `presence` gives, in a fixed order; landmarks are the first texts of each language in turn."""
     names = sorted(set(langs))
-    x = presence_matrix(slots_of)
-    used = x.any(1)
-    x, own = x[used], np.array(langs, dtype=object)[used]
-    if not len(x):
-        return KernelModel([], x, np.zeros((0, 0)), np.zeros(0))
-    turn = np.array([np.count_nonzero(own[:k] == lang) for k, lang in enumerate(own)])
-    z = x[np.argsort(turn, kind="stable")[:n_landmarks]]
-    value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
+    used = [k for k, x in enumerate(slots_of) if len(x)]
+    if not used:
+        return KernelModel([], np.zeros((SLOTS, 0), np.float32), np.zeros(0))
+    rows, own = [slots_of[k] for k in used], np.array([langs[k] for k in used], dtype=object)
+    seen: dict[str, int] = {}
+    turn = []
+    for lang in own:
+        turn.append(seen.get(lang, 0))
+        seen[lang] = turn[-1] + 1
+    marks = [rows[k] for k in np.argsort(turn, kind="stable")[:n_landmarks]]
+    z = np.zeros((SLOTS, len(marks)), np.float32)
+    for k, there in enumerate(marks):
+        z[there, k] = len(there) ** -0.5
+    value, vector = np.linalg.eigh(product(marks, z))
     value = np.maximum(value, 1e-6 * value.max())
     root = vector * value**-0.5 @ vector.T
-    features = (x @ z.T).astype(np.float64) @ root
+    features = product(rows, z) @ root
     target = np.where(own[:, None] == np.array(names, dtype=object), 1.0, -1.0)
     # every language weighs the same, however many rows it has
     weight = (1.0 / np.maximum(1, (target > 0).sum(0)))[np.array([names.index(o) for o in own])]
@@ -105,33 +125,42 @@ def fit(slots_of: list[np.ndarray], langs: list[str], n_landmarks: int = LANDMAR
     penalty = ridge * len(full) * np.eye(full.shape[1])
     penalty[-1, -1] = 0.0
     solved = np.linalg.solve(full.T @ scaled + penalty, scaled.T @ target)
-    return KernelModel(names, z, (root @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32))
+    return KernelModel(names, z @ (root @ solved[:-1]).astype(np.float32), solved[-1])
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN, learn=None) -> KernelModel:
     """Fit on rows with text and lang where `learn` holds, at most `max_train` of them."""
-    own = docs.where("doc_id is not null and text is not null and lang is not null").select("doc_id", "lang")
+    known = docs.where("doc_id is not null and text is not null and lang is not null")
     if learn is not None:
-        own = own.where(learn)
-    # the hash order is cut first, so no language's rows meet in one task
-    near = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(20 * max_train)
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = near.withColumn("turn", turn).orderBy("turn", "lang").limit(max_train).drop("lang")
-    # at most max_train rows of an id and a number; only slot numbers, not texts, go to the driver
-    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    rows = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "turn", "lang", "text")
+        known = known.where(learn)
+    known = known.select("doc_id", "lang", "text").withColumn("mark", F.xxhash64("doc_id", "text"))
+    keys = written(known.select("doc_id", "lang", "mark").distinct(), "langid-keys")
+    counts = written(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-counts")
+    # about twice as many of a language as could be taken, so that no task gets all its rows
+    near = keys.join(sent_if_small(counts), "lang").where(_unit("mark") * F.col("n") < 2.0 * max_train)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))
+    sample = near.withColumn("turn", turn).where(F.col("turn") <= max_train).orderBy("turn", "lang").limit(max_train)
+    # at most max_train rows of four narrow columns
+    rows = known.join(F.broadcast(sample.select("doc_id", "lang", "mark", "turn")), ["doc_id", "lang", "mark"]).select("doc_id", "mark", "turn", "lang", "text")
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            slots = [presence(t).astype(np.int32) for t in batch.column(3).to_pylist()]
+            slots = [presence(t) for t in batch.column(4).to_pylist()]
             *keys, _ = batch.columns
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(slots, pa.list_(pa.int32()))], names=["doc_id", "turn", "lang", "slots"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(slots, pa.list_(pa.int32()))], names=["doc_id", "mark", "turn", "lang", "slots"])
 
         return step
 
-    got = map_rows(rows, make, "doc_id long, turn int, lang string, slots array<int>").toPandas()
+    # slot numbers, not texts, go to the driver, once for repeated rows
+    found = map_rows(rows, make, "doc_id long, mark long, turn int, lang string, slots array<int>")
+    got = found.groupBy("doc_id", "mark", "turn", "lang").agg(F.first("slots").alias("slots")).toPandas()
     got = got.sort_values(["turn", "lang", "doc_id"], kind="stable")
-    return fit(got["slots"].tolist(), got["lang"].tolist())
+    return fit([np.asarray(x, np.int32) for x in got["slots"]], got["lang"].tolist())
+
+
+def _unit(column: str):
+    """A 64-bit hash as a number from 0 to 1."""
+    return F.col(column) / float(1 << 64) + 0.5
 
 
 def identify(docs: DataFrame, model: KernelModel) -> DataFrame:
