@@ -111,7 +111,7 @@ def fit(x: np.ndarray, label: np.ndarray, max_pairs: int = MAX_PAIRS, ridge: flo
     if not len(good) or not len(poor):
         return PairwiseModel(np.zeros(width), np.ones(width), np.zeros(width + squared), 0.0, squared)
     spread = x.std(0)
-    model = PairwiseModel(x.mean(0), np.where(spread > 1e-9, spread, 1.0), np.zeros(width + squared), 0.0, squared)
+    model = PairwiseModel(x.mean(0).astype(np.float32), np.where(spread > 1e-9, spread, 1.0).astype(np.float32), np.zeros(width + squared), 0.0, squared)
     z = model.expand(x)
     random = np.random.default_rng(seed)
     n = min(max_pairs, len(good) * len(poor))
@@ -153,17 +153,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, lear
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            x = [features(t or "").astype(np.float32) for t in batch.column(3).to_pylist()]
+            x = [features(t or "").astype(np.float32).tobytes() for t in batch.column(3).to_pylist()]
             *keys, _ = batch.columns
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "quality", "mark", "x"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(x, pa.binary())], names=["doc_id", "quality", "mark", "x"])
 
         return step
 
-    found = map_rows(rows, make, "doc_id long, quality int, mark long, x array<float>")
-    got = found.groupBy("doc_id", "quality").agg(F.min_by("x", "mark").alias("x")).toPandas()
-    got = got.sort_values(["doc_id", "quality"], kind="stable")  # the same model whatever order the tasks end in
-    x = np.array([np.asarray(v) for v in got["x"]], dtype=np.float64).reshape(len(got), len(features("")))
-    return fit(x, got["quality"].to_numpy())
+    found = map_rows(rows, make, "doc_id long, quality int, mark long, x binary")
+    got = found.groupBy("doc_id", "quality").agg(F.min_by("x", "mark").alias("x")).collect()
+    got.sort(key=lambda r: (r.doc_id, r.quality))  # the same model whatever order the tasks end in
+    x = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(len(got), len(features("")))
+    return fit(x, np.array([r.quality for r in got], np.int64))
 
 
 def quality_scores(docs: DataFrame, model: PairwiseModel) -> DataFrame:
