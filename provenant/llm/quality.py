@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, map_rows, record, table, written
 
-MAX_LABELS = 20_000
+MAX_LABELS = 10_000
 MAX_PAIRS = 50_000
 #: Slots of hashed words, and of hashed byte trigrams.
 WORD_SLOTS, GRAM_SLOTS = 128, 256
