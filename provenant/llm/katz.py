@@ -1,23 +1,25 @@
-"""Language-model scoring by Katz backoff over word pairs.
+"""Language-model scoring by Katz backoff over n-grams of a given order.
 
-Good-Turing: a pair seen r times keeps the share d_r of its count, from the counts of
-counts up to `K`; above `K` nearly all of it.  What a context's pairs lose is its mass for
+Good-Turing: an n-gram seen r times keeps the share d_r of its count, from its order's counts
+of counts up to `K`; above `K` nearly all of it.  What a context's n-grams lose is its mass for
 words not seen after it, dealt out in proportion to the lower order, so its backoff weight
 is that mass over the lower-order probability of the words not seen: exactly normalised.
-Words are the lower order, with Good-Turing mass for one class of unknown words.  A token is
-evaluated recursively: its pair if seen, else its context's weight times its word, or the
-word alone after an unknown context.
+Words are the lowest order, with Good-Turing mass for one class of unknown words.  A token is
+evaluated recursively, order by order: its n-gram if seen, else its context's weight times the
+probability of the order below, or that alone after an unknown context.  The first token of a
+text has the text's beginning as its context, the second that and the first, and so on.
 
 No table of the model is ever in one place.  Texts become chunks of about `CHUNK_TOKENS` tokens
 in local word numbers, a bucketed table.  A chunk asks, once for each of its distinct
-words, pairs and contexts and packed by bucket of their hash, what the corpus knows of
+words, n-grams and contexts and packed by bucket of their hash, what the corpus knows of
 them; the task of a bucket adds the counts up and answers every chunk that asked.  Words and
 counts are kept as a partitioned table; each later pass reads chunks where they lie
-and joins only the answers.  A pair is owned by the first chunk that has it, so its part of
+and joins only the answers.  An n-gram is owned by the first chunk that has it, so its part of
 its context's sums is added once.  Common words meet in no single place: a chunk asks once
-for each, and pairs are dealt out by both words.
+for each, and n-grams are dealt out by all their words.  The number of buckets follows the
+characters of all texts, so a bucket's task holds a bounded number of hashes.
 
-Words and pairs are told apart by 64-bit hashes.
+Words and n-grams are told apart by 64-bit hashes.
 
 Decided cases: null counts as empty; an empty text is its end token; with nothing to learn
 every word is unknown; repeated rows are texts of their own; a null id is learnt; extra columns are left out.
@@ -37,13 +39,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, shared_dir, table, whole_groups, written
+from .common import discard, fold, shared_dir, table, whole_groups, written
 
 #: Counts up to which Good-Turing discounts hold.
 K = 5
 #: Share that larger counts lose, so that every context has mass for the rest.
 LEAST = 1e-6
 CHUNK_TOKENS = 2_000_000
+#: Words of an n-gram in the query.
+ORDER = 3
+#: Hashes that meet in a bucket's task, about, at most: 150 MB.
+BUCKET_HASHES = 2_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -102,7 +108,7 @@ class Numbers:
     tokens: int
     types: int
     words: np.ndarray = field(default_factory=lambda: np.zeros(K + 2))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(K + 2))
+    grams: dict[int, np.ndarray] = field(default_factory=dict)  # by order
 
     def word_probability(self, c: np.ndarray) -> np.ndarray:
         """Of words of training count c; 0 is the class of all unknown words."""
@@ -171,8 +177,11 @@ def _chunks(docs: DataFrame, held: Column, buckets: int, chunk_tokens: int) -> D
     spark = docs.sparkSession
     name = f"katz_chunks_{uuid.uuid4().hex}"
     rows = docs.select("doc_id", "text", held.alias("held")).mapInArrow(run, _CHUNK)
-    rows.write.option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
-    return spark.table(name)
+    path = f"{shared_dir(spark)}/{name}"
+    rows.write.option("path", path).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
+    chunks = spark.table(name)
+    chunks._table, chunks._written_at = name, path
+    return chunks
 
 
 class Chunk:
@@ -190,12 +199,13 @@ class Chunk:
         for a in row.get("answers") or ():
             self.answers.setdefault(a["kind"], {})[a["bucket"]] = a["data"]
 
-    def ask(self, hashes: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-        """(bucket, chunk, sorted hashes, column...) packed."""
+    def ask(self, kind: str, hashes: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+        """(bucket, chunk, kind, sorted hashes, column...) packed."""
         order, begin = _by_bucket(hashes, self.buckets)
         for k in np.flatnonzero(np.diff(begin)):
             own = order[begin[k] : begin[k + 1]]
-            yield (int(k), self.number, _pack_sorted(hashes[own]), *(_pack(c[own]) for c in columns))
+            packed = [_pack(c[own]) for c in columns]
+            yield (int(k), self.number, kind, _pack_sorted(hashes[own]), *packed, *[None] * (3 - len(packed)))
 
     def answer(self, kind: str, hashes: np.ndarray, dtype) -> np.ndarray:
         """What the buckets said, in the order of the sorted hashes that were asked."""
@@ -209,114 +219,148 @@ class Chunk:
         """Training counts of the vocabulary."""
         return self.answer("words", self.vocab, np.uint32).astype(np.int64)
 
-    def pairs(self, count: np.ndarray, texts: int) -> None:
-        """Distinct pairs of known words: `key` sorted, `context`, `word`; `at`: each token's pair or -1."""
+    def levels(self, numbers: Numbers, order: int, last: bool = True) -> list[Level]:
+        """Levels of 2 to `order`; what the corpus knows of the last one's n-grams only if `last`."""
+        count = self.words()
         start = len(self.vocab)
-        context = np.empty_like(self.tokens)
-        context[1:] = self.tokens[:-1]
-        context[self.first] = start
-        self.context_of, self.context_count = context, np.append(count, texts)
-        both = (self.context_count[context] > 0) & (count[self.tokens] > 0)
-        local, inverse = np.unique(context[both] * np.int64(start) + self.tokens[both], return_inverse=True)
-        self.context, self.word = local // max(1, start), local % max(1, start)
-        hashes = np.append(self.vocab, _START)
-        key = (hashes[self.context] * _A) ^ (self.vocab[self.word] * _B + (hashes[self.context] >> np.uint64(31)))
+        previous = np.empty_like(self.tokens)
+        previous[1:] = self.tokens[:-1]
+        previous[self.first] = start
+        hashes, counts = np.append(self.vocab, _START), np.append(count, numbers.texts)
+        below, known = self.tokens, count[self.tokens] > 0
+        out = []
+        for m in range(2, order + 1):
+            level = Level(self, previous, hashes, counts, below, known)
+            out.append(level)
+            if m < order or last:
+                level.learn(self.answer(f"grams{m}", level.key, np.uint32), numbers.grams[m])
+                previous = np.full_like(self.tokens, -1)
+                previous[1:] = level.at[:-1]
+                previous[self.first] = -1
+                hashes, counts, below, known = level.key, level.count, level.at, level.seen
+        return out
+
+    def contexts(self, level: Level, lower: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(sorted hashes, their places, sums over owned n-grams: lower-order probability and lost count, is its weight needed)."""
+        own, n = level.own, len(level.hashes)
+        mass = np.bincount(level.context[own], lower[level.suffix[own]], n)
+        lost = np.bincount(level.context[own], ((1 - level.kept) * level.count)[own], n)
+        needed = np.zeros(n, bool)
+        needed[level.context_of[level.valid & ~level.seen]] = True
+        place = np.flatnonzero(needed | (mass > 0))
+        place = place[np.argsort(level.hashes[place])]
+        return level.hashes[place], place, mass[place], lost[place], needed[place]
+
+
+class Level:
+    """A chunk's distinct n-grams of one order whose parts are known: `key` sorted, `context`, `suffix` (the n-gram of the
+    order below that ends it); `at`: each token's n-gram or -1."""
+
+    def __init__(self, chunk: Chunk, previous: np.ndarray, hashes: np.ndarray, counts: np.ndarray, below: np.ndarray, known: np.ndarray):
+        self.context_of, self.hashes, self.context_count = previous, hashes, counts
+        self.valid = previous >= 0  # after a context that the training part has
+        self.valid[self.valid] = counts[previous[self.valid]] > 0
+        both = self.valid & known
+        wide = int(below.max(initial=0)) + 1
+        local, inverse = np.unique(previous[both] * np.int64(wide) + below[both], return_inverse=True)
+        context, suffix = local // wide, local % wide
+        word = np.zeros(len(local), np.int64)
+        word[inverse.ravel()] = chunk.tokens[both]
+        key = (hashes[context] * _A) ^ (chunk.vocab[word] * _B + (hashes[context] >> np.uint64(31)))
         key = (key ^ (key >> np.uint64(29))) * _B
         order = np.argsort(key)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.key, self.context, self.word = key[order], self.context[order], self.word[order]
-        self.at = np.full(len(self.tokens), -1)
+        self.key, self.context, self.suffix = key[order], context[order], suffix[order]
+        self.at = np.full(len(chunk.tokens), -1)
         self.at[both] = rank[inverse.ravel()]
-        self.trained_pairs = np.bincount(self.at[both & self.trained], minlength=len(order)).astype(np.uint32)
-
-    def contexts(self, numbers: Numbers, count: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(sorted hashes, their places, sums over owned pairs: word probability and lost count, is its weight needed)."""
-        r, own = (seen >> 1).astype(np.int64), (seen & 1).astype(bool)
-        d = discounts(numbers.pairs)
-        n = len(self.vocab) + 1
-        mass = np.bincount(self.context[own], numbers.word_probability(count)[self.word[own]], n)
-        lost = np.bincount(self.context[own], ((1 - d[np.where(r > K, 0, r)]) * r)[own], n)
-        new = (self.at < 0) | (r[self.at] == 0) if len(r) else np.ones(len(self.at), bool)
-        needed = np.zeros(n, bool)
-        needed[self.context_of[new]] = True
-        needed &= self.context_count > 0
-        hashes = np.append(self.vocab, _START)
-        place = np.flatnonzero(needed | (mass > 0))
-        place = place[np.argsort(hashes[place])]
-        return hashes[place], place, mass[place], lost[place], needed[place]
+        self.trained = np.bincount(self.at[both & chunk.trained], minlength=len(order)).astype(np.uint32)
 
+    def learn(self, answer: np.ndarray, counts_of_counts: np.ndarray) -> None:
+        """`count` in the corpus, the share `kept` of it, `probability` after the context, `own`: is this chunk the first with it; `seen`, by token."""
+        self.count, self.own = (answer >> 1).astype(np.int64), (answer & 1).astype(bool)
+        d = discounts(counts_of_counts)
+        self.kept = d[np.where(self.count > K, 0, self.count)]
+        self.probability = self.kept * self.count / np.maximum(1, self.context_count[self.context])
+        self.seen = self.at >= 0
+        self.seen[self.seen] = self.count[self.at[self.seen]] > 0
 
-def _of_chunks(frame: DataFrame, buckets: int, f, schema: str, names: list[str]) -> DataFrame:
+
+def _of_chunks(frame: DataFrame, buckets: int, f, schema: str) -> DataFrame:
     """Rows that `f` makes of each chunk."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
-    types = [kinds[c.split()[1]] for c in schema.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    names, types = zip(*((c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 rows = list(f(Chunk(batch.slice(k, 1).to_pylist()[0], buckets)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
     return frame.mapInArrow(run, schema)
 
 
-def _reduced(asked: DataFrame, f, schema: str, names: list[str], types: list) -> DataFrame:
-    """Rows that `f` makes of all that was asked of a bucket: a list of rows as tuples."""
+def _reduced(asked: DataFrame, buckets: int) -> DataFrame:
+    """Answers to all that was asked of each bucket."""
+    add = {"words": _add_words, "grams": _add_grams, "contexts": _add_contexts}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_groups(batches, "bucket"):
-            rows = list(zip(*(whole.column(c).to_pylist() for c in whole.column_names), strict=True))
-            at = np.array([r[0] for r in rows])
-            for bucket in np.unique(at):
-                out = list(f(int(bucket), sorted((rows[k] for k in np.flatnonzero(at == bucket)), key=lambda r: r[1])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            rows = list(zip(*(whole.column(c).to_pylist() for c in _NAMES), strict=True))
+            for bucket, kind in sorted({(r[0], r[2]) for r in rows}):
+                own = sorted((r for r in rows if r[0] == bucket and r[2] == kind), key=lambda r: r[1])
+                out = list(add[kind.rstrip("0123456789")](kind, bucket, own))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ANSWER_TYPES, strict=True)], names=_ANSWER_NAMES)
 
-    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").select(*_NAMES).mapInArrow(run, _ANSWER)
 
 
-_ASK = "bucket int, chunk long, hashes binary, a binary"
-_ANSWER = "kind string, bucket int, chunk long, data binary, more binary, counts array<long>"
-_ANSWER_NAMES = ["kind", "bucket", "chunk", "data", "more", "counts"]
-_ANSWER_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+_ASK = "bucket int, chunk long, kind string, hashes binary, a binary, b binary, c binary"
+_NAMES = [c.split()[0] for c in _ASK.split(", ")]
+_ANSWER = "kind string, bucket int, chunk long, data binary, counts array<long>"
+_ANSWER_NAMES = ["kind", "bucket", "chunk", "data", "counts"]
+_ANSWER_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
 
 def _grouped(rows: list[tuple], *kinds) -> tuple:
     """All rows' hashes with totals: (sizes, unique hashes, inverse, concatenated columns)."""
-    hashes = [_unpack_sorted(r[2]) for r in rows]
+    hashes = [_unpack_sorted(r[3]) for r in rows]
     unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    columns = [np.concatenate([_unpack(r[3 + k], kind) for r in rows]) for k, kind in enumerate(kinds)]
+    columns = [np.concatenate([_unpack(r[4 + k], kind) for r in rows]) for k, kind in enumerate(kinds)]
     return [len(h) for h in hashes], unique, inverse.ravel(), *columns
 
 
-def _add_words(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
+def _add_words(kind: str, bucket: int, rows: list[tuple]) -> Iterator[tuple]:
     sizes, unique, inverse, n = _grouped(rows, np.uint32)
     total = np.bincount(inverse, n, len(unique)).astype(np.uint32)
     there = total > 0
-    yield ("model", bucket, -1, _pack_sorted(unique[there]), _pack(total[there]), [int(total.sum()), int(there.sum()), *_counts_of_counts(total[there])])
+    counts = [int(total.sum()), int(there.sum()), *_counts_of_counts(total[there])]
+    yield ("model", bucket, -1, _pack_sorted(unique[there]) + _pack(total[there]), counts)
     for r, part in zip(rows, np.split(total[inverse], np.cumsum(sizes)[:-1]), strict=True):
-        yield ("words", bucket, r[1], _pack(part), None, None)
+        yield (kind, bucket, r[1], _pack(part), None)
 
 
-def _add_pairs(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
+def _add_grams(kind: str, bucket: int, rows: list[tuple]) -> Iterator[tuple]:
     sizes, unique, inverse, n = _grouped(rows, np.uint32)
     total = np.bincount(inverse, n, len(unique)).astype(np.uint32)
     first = np.full(len(unique), len(inverse))
     np.minimum.at(first, inverse, np.arange(len(inverse)))
     own = (first[inverse] == np.arange(len(inverse))) & (total[inverse] > 0)
-    yield ("pair-counts", bucket, -1, None, None, [int(total.sum()), int((total > 0).sum()), *_counts_of_counts(total[total > 0])])
+    yield (f"{kind}-counts", bucket, -1, None, [int(total.sum()), int((total > 0).sum()), *_counts_of_counts(total[total > 0])])
     for r, part in zip(rows, np.split((total[inverse] << np.uint32(1)) | own.astype(np.uint32), np.cumsum(sizes)[:-1]), strict=True):
-        yield ("pairs", bucket, r[1], _pack(part), None, None)
+        yield (kind, bucket, r[1], _pack(part), None)
 
 
-def _add_contexts(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
+def _add_contexts(kind: str, bucket: int, rows: list[tuple]) -> Iterator[tuple]:
     sizes, unique, inverse, mass, lost, needed = _grouped(rows, np.float64, np.float64, np.uint8)
     seen, gone = np.bincount(inverse, mass, len(unique)), np.bincount(inverse, lost, len(unique))
     ends = np.cumsum(sizes)
     for r, a, b in zip(rows, ends - sizes, ends, strict=True):
         at = inverse[a:b][needed[a:b] > 0]
-        yield ("contexts", bucket, r[1], _pack(seen[at]), _pack(gone[at]), None)
+        yield (f"{kind}-mass", bucket, r[1], _pack(seen[at]), None)
+        yield (f"{kind}-lost", bucket, r[1], _pack(gone[at]), None)
 
 
 def _summed(answers: DataFrame, kind: str) -> np.ndarray:
@@ -338,69 +382,75 @@ def _with_answers(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
     return chunks.join(lists, "chunk")
 
 
-def score_documents(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOKENS, order: int = ORDER, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
 
     Where `held` holds a text is scored but not learnt.
     """
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = docs.sparkSession
+    # a word has three characters and its space, at least, on the whole
+    tokens = (docs.select(F.sum(F.length("text") + 1)).first()[0] or 0) // 4
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // bucket_hashes))
     chunks = _chunks(docs, held, buckets, chunk_tokens)
-    names = ["bucket", "chunk", "hashes", "a"]
+    answers: list[DataFrame] = []
+
+    def asked(f, label: str) -> DataFrame:
+        """The answers to what `f` asks for each chunk, given the answers before."""
+        known = _with_answers(chunks, *answers) if answers else chunks
+        out = written(_reduced(_of_chunks(known, buckets, f, _ASK), buckets), label, ["kind"])
+        answers.append(out)
+        return out
 
     def ask_words(c: Chunk):
-        yield from c.ask(c.vocab, np.bincount(c.tokens[c.trained], minlength=len(c.vocab)).astype(np.uint32))
+        yield from c.ask("words", c.vocab, np.bincount(c.tokens[c.trained], minlength=len(c.vocab)).astype(np.uint32))
 
-    asked = _of_chunks(chunks, buckets, ask_words, _ASK, names)
-    words = written(_reduced(asked, _add_words, _ANSWER, _ANSWER_NAMES, _ANSWER_TYPES), "katz-words", ["kind"])
-    total = _summed(words, "model")
+    total = _summed(asked(ask_words, "katz-words"), "model")
     texts = chunks.select(F.sum(F.aggregate("held", F.lit(0), lambda n, h: n + F.when(h, 0).otherwise(1)))).first()[0] or 0
     numbers = Numbers(int(texts), int(total[0]), int(total[1]), np.array([0, *total[3 : K + 4]], np.float64))
 
-    def ask_pairs(c: Chunk):
-        c.pairs(c.words(), numbers.texts)
-        yield from c.ask(c.key, c.trained_pairs)
-
-    asked = _of_chunks(_with_answers(chunks, words), buckets, ask_pairs, _ASK, names)
-    pairs = written(_reduced(asked, _add_pairs, _ANSWER, _ANSWER_NAMES, _ANSWER_TYPES), "katz-pairs", ["kind"])
-    numbers.pairs = np.array([0, *_summed(pairs, "pair-counts")[3 : K + 4]], np.float64)
+    def ask_level(m: int):
+        def ask(c: Chunk):
+            levels = c.levels(numbers, min(m, order), m > order)
+            if m <= order:
+                yield from c.ask(f"grams{m}", levels[-1].key, levels[-1].trained)
+            if m > 2:
+                lower = numbers.word_probability(c.words()) if m == 3 else levels[m - 4].probability
+                hashes, _, mass, lost, needed = c.contexts(levels[m - 3], lower)
+                yield from c.ask(f"contexts{m - 1}", hashes, mass, lost, needed.astype(np.uint8))
 
-    def ask_contexts(c: Chunk):
-        count = c.words()
-        c.pairs(count, numbers.texts)
-        hashes, _, mass, lost, needed = c.contexts(numbers, count, c.answer("pairs", c.key, np.uint32))
-        yield from c.ask(hashes, mass, lost, needed.astype(np.uint8))
+        return ask
 
-    asked = _of_chunks(_with_answers(chunks, words, pairs), buckets, ask_contexts, _ASK + ", b binary, c binary", [*names, "b", "c"])
-    contexts = written(_reduced(asked, _add_contexts, _ANSWER, _ANSWER_NAMES, _ANSWER_TYPES), "katz-contexts", ["kind"])
-    split = contexts.select(F.inline(F.array(
-        F.struct(F.lit("mass").alias("kind"), "bucket", "chunk", "data"), F.struct(F.lit("lost").alias("kind"), "bucket", "chunk", F.col("more").alias("data")),
-    )))
+    for m in range(2, order + 2):  # the contexts of an order together with the n-grams of the next
+        found = asked(ask_level(m), f"katz-grams-{m}")
+        if m <= order:
+            numbers.grams[m] = np.array([0, *_summed(found, f"grams{m}-counts")[3 : K + 4]], np.float64)
 
     def evaluate(c: Chunk):
         count = c.words()
-        c.pairs(count, numbers.texts)
-        seen = c.answer("pairs", c.key, np.uint32)
-        hashes, place, _, _, needed = c.contexts(numbers, count, seen)
-        weight = np.ones(len(c.vocab) + 1)
-        mass, lost = (_needed(c, k, hashes, needed) for k in ("mass", "lost"))
-        weight[place[needed]] = backoff(mass, lost, c.context_count[place[needed]])
-        lower = np.log10(numbers.word_probability(count))[c.tokens]
-        r = (seen >> 1).astype(np.int64)
-        d = discounts(numbers.pairs)
-        with np.errstate(divide="ignore"):
-            pair = np.log10(d[np.where(r > K, 0, r)] * r / np.maximum(1, c.context_count[c.context]))
-        new = (c.at < 0) | (r[c.at] == 0) if len(r) else np.ones(len(c.at), bool)
-        value = np.where(new, np.log10(weight)[c.context_of] + lower, pair[c.at] if len(r) else 0.0)
+        probability = numbers.word_probability(count)
+        value, lower = np.log10(probability)[c.tokens], probability
+        for m, level in enumerate(c.levels(numbers, order), 2):
+            hashes, place, _, _, needed = c.contexts(level, lower)
+            weight = np.ones(len(level.hashes))
+            mass, lost = (_needed(c, f"contexts{m}-{k}", hashes, needed) for k in ("mass", "lost"))
+            weight[place[needed]] = backoff(mass, lost, level.context_count[place[needed]])
+            new = level.valid & ~level.seen
+            value[new] += np.log10(weight)[level.context_of[new]]
+            value[level.seen] = np.log10(level.probability[level.at[level.seen]])
+            lower = level.probability
         base = np.log10((count + 0.5) / (numbers.tokens + 0.5 * (numbers.types + 1)))[c.tokens]
         sums = [np.add.reduceat(x, c.first) for x in ((count > 0)[c.tokens].astype(np.int64), base, value)]
         for k, doc_id in enumerate(c.ids):
             yield (doc_id, bool(c.held[k]), int(c.lengths[k]), int(sums[0][k]), numbers.tokens, float(sums[1][k]), float(sums[2][k]))
 
-    out = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return _of_chunks(
-        _with_answers(chunks, words, pairs, split), buckets, evaluate,
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", out,
+    scores = _of_chunks(
+        _with_answers(chunks, *answers), buckets, evaluate,
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
+    scores = written(scores, "katz-scores")
+    discard(chunks, *answers)
+    spark.sql(f"DROP TABLE IF EXISTS {chunks._table}")
+    return scores
 
 
 def _needed(c: Chunk, kind: str, hashes: np.ndarray, needed: np.ndarray) -> np.ndarray:

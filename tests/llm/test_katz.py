@@ -18,18 +18,28 @@ def tokens(text):
 class Brute:
     """The model in dictionaries."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, order=2):
         seqs = [tokens(t) for t in texts]
+        self.order = order
         self.c = Counter(w for s in seqs for w in s)
         self.n = sum(self.c.values())
-        self.pair = Counter(p for s in seqs for p in zip(["<s>", *s[:-1]], s))
-        self.context = Counter(p[0] for p in self.pair.elements())
         self.dw = self._d(self.c)
-        self.dp = self._d(self.pair)
         self.unknown = (self.n - sum(self._keep(self.dw, x) for x in self.c.values())) / self.n
-        self.after = defaultdict(list)
-        for a, b in self.pair:
-            self.after[a].append(b)
+        self.gram, self.context, self.d, self.after = {}, {}, {}, {}
+        for m in range(2, order + 1):
+            grams = [g for s in seqs for g in self.grams(s, m) if g]
+            self.gram[m] = Counter(grams)
+            self.context[m] = Counter(g[:-1] for g in grams)
+            self.d[m] = self._d(self.gram[m])
+            self.after[m] = defaultdict(list)
+            for g in self.gram[m]:
+                self.after[m][g[:-1]].append(g[-1])
+
+    @staticmethod
+    def grams(seq, m):
+        """The n-gram of m words that ends at each token; none where the text's beginning is nearer."""
+        padded = ["<s>", *seq]
+        return [tuple(padded[i - m + 2 : i + 2]) if i >= m - 2 else None for i in range(len(seq))]
 
     def _d(self, counts):
         n = Counter(counts.values())
@@ -41,13 +51,22 @@ class Brute:
     def word(self, w):
         return self._keep(self.dw, self.c[w]) / self.n if w in self.c else self.unknown
 
-    def p(self, a, b):
-        if a not in self.context:
-            return self.word(b)
-        if (a, b) in self.pair:
-            return self._keep(self.dp, self.pair[a, b]) / self.context[a]
-        left = 1 - sum(self._keep(self.dp, self.pair[a, x]) for x in self.after[a]) / self.context[a]
-        return left / (1 - sum(self.word(x) for x in self.after[a])) * self.word(b)
+    def p(self, context, w):
+        """`context`: the words before, `order` - 1 of them at most."""
+        m = len(context) + 1
+        if m == 1:
+            return self.word(w)
+        if context not in self.context[m]:
+            return self.p(context[1:], w)
+        gram, total = self.gram[m], self.context[m][context]
+        if (*context, w) in gram:
+            return self._keep(self.d[m], gram[*context, w]) / total
+        left = 1 - sum(self._keep(self.d[m], gram[*context, x]) for x in self.after[m][context]) / total
+        return left / (1 - sum(self.p(context[1:], x) for x in self.after[m][context])) * self.p(context[1:], w)
+
+    def score(self, seq):
+        padded = ["<s>", *seq]
+        return sum(math.log10(self.p(tuple(padded[max(0, i - self.order + 2) : i + 1]), w)) for i, w in enumerate(seq))
 
 
 def corpus(seed=1, n=60):
@@ -56,14 +75,14 @@ def corpus(seed=1, n=60):
     return [None, "", " \n ", *(" ".join(vocab[min(79, int(r.expovariate(0.08)))] for _ in range(r.randint(1, 150))) for _ in range(n))]
 
 
-@pytest.mark.parametrize("chunk", [150, 10**6])
-def test_scores_equal_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "order", "bucket"), [(150, 2, 10**6), (10**6, 2, 10**6), (150, 3, 300), (10**6, 3, 10**6), (400, 4, 10**6)])
+def test_scores_equal_brute_force(spark, chunk, order, bucket):
     rows = list(enumerate(corpus())) + [(500, "never seen words W1"), (None, "W1 W2"), (501, "W1 W2"), (501, "W1 W2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "1 as chunk", "'x' as held")
-    got = katz.score_documents(docs, fold("doc_id", 5, 1), chunk).collect()
+    got = katz.score_documents(docs, fold("doc_id", 5, 1), chunk, order, bucket).collect()
     assert len(got) == len(rows)
     held = {g.doc_id: g.held_out for g in got}
-    model = Brute([t for d, t in rows if not held[d]])
+    model = Brute([t for d, t in rows if not held[d]], order)
     texts = dict(rows)
     assert any(held.values()) and not held[None]
     for g in got:
@@ -71,14 +90,16 @@ def test_scores_equal_brute_force(spark, chunk):
         assert (g.n_tokens, g.n_known, g.train_tokens) == (len(seq), sum(w in model.c for w in seq), model.n)
         base = sum(math.log10((model.c[w] + 0.5) / (model.n + 0.5 * (len(model.c) + 1))) for w in seq)
         assert abs(g.base_score - base) < 1e-8
-        assert abs(g.score - sum(math.log10(model.p(a, b)) for a, b in zip(["<s>", *seq[:-1]], seq))) < 1e-7, g
+        assert abs(g.score - model.score(seq)) < 1e-7, g
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("katz_chunks")]
 
 
 def test_brute_model_is_normalised():
-    model = Brute(corpus())
-    for a in ["<s>", *list(model.c)[:30], "unseen"]:
-        total = sum(model.p(a, b) for b in model.c) + model.p(a, "no such word")
-        assert abs(total - 1) < 1e-9
+    for order in (2, 3):
+        model = Brute(corpus(), order)
+        for context in [("<s>",), ("unseen",), *list(model.context[order])[:30], *[(w,) for w in list(model.c)[:10]]]:
+            total = sum(model.p(context, w) for w in model.c) + model.p(context, "no such word")
+            assert abs(total - 1) < 1e-9
 
 
 def test_nothing_to_learn_and_empty_table(spark):
