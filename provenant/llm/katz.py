@@ -78,11 +78,16 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
 
-def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes in an order by bucket, and where buckets begin."""
-    bucket = ((hashes * _A) >> np.uint64(33)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where buckets, equal ranges of hashes, begin in sorted hashes; the last place is the end."""
+    bounds = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(hashes, bounds), len(hashes))
+
+
+def _trimmed(values: np.ndarray) -> np.ndarray:
+    """Numbers to 32 binary digits behind the first, which pack in five or six bytes; off by 1e-10 of themselves at most."""
+    half = np.uint64(1 << 19)
+    return ((np.ascontiguousarray(values).view(np.uint64) + half) & ~np.uint64((1 << 20) - 1)).view(np.float64)
 
 
 # -- the model's numbers -----------------------------------------------------
@@ -201,19 +206,17 @@ class Chunk:
 
     def ask(self, kind: str, hashes: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         """(bucket, chunk, kind, sorted hashes, column...) packed."""
-        order, begin = _by_bucket(hashes, self.buckets)
+        begin = _cuts(hashes, self.buckets)
         for k in np.flatnonzero(np.diff(begin)):
-            own = order[begin[k] : begin[k + 1]]
+            own = slice(begin[k], begin[k + 1])
             packed = [_pack(c[own]) for c in columns]
             yield (int(k), self.number, kind, _pack_sorted(hashes[own]), *packed, *[None] * (3 - len(packed)))
 
     def answer(self, kind: str, hashes: np.ndarray, dtype) -> np.ndarray:
         """What the buckets said, in the order of the sorted hashes that were asked."""
-        order, begin = _by_bucket(hashes, self.buckets)
-        out = np.zeros(len(hashes), dtype)
-        for k in np.flatnonzero(np.diff(begin)):
-            out[order[begin[k] : begin[k + 1]]] = _unpack(self.answers[kind][int(k)], dtype)
-        return out
+        begin = _cuts(hashes, self.buckets)
+        parts = [_unpack(self.answers[kind][int(k)], dtype) for k in np.flatnonzero(np.diff(begin))]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
     def words(self) -> np.ndarray:
         """Training counts of the vocabulary."""
@@ -261,20 +264,18 @@ class Level:
         self.valid = previous >= 0  # after a context that the training part has
         self.valid[self.valid] = counts[previous[self.valid]] > 0
         both = self.valid & known
-        wide = int(below.max(initial=0)) + 1
-        local, inverse = np.unique(previous[both] * np.int64(wide) + below[both], return_inverse=True)
-        context, suffix = local // wide, local % wide
-        word = np.zeros(len(local), np.int64)
-        word[inverse.ravel()] = chunk.tokens[both]
-        key = (hashes[context] * _A) ^ (chunk.vocab[word] * _B + (hashes[context] >> np.uint64(31)))
+        at = np.flatnonzero(both)
+        of, word = hashes[previous[at]], chunk.tokens[at]
+        key = (of * _A) ^ (chunk.vocab[word] * _B + (of >> np.uint64(31)))
         key = (key ^ (key >> np.uint64(29))) * _B
         order = np.argsort(key)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.key, self.context, self.suffix = key[order], context[order], suffix[order]
+        ordered = key[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
+        some = at[order[new]]
+        self.key, self.context, self.suffix = ordered[new], previous[some], below[some]
         self.at = np.full(len(chunk.tokens), -1)
-        self.at[both] = rank[inverse.ravel()]
-        self.trained = np.bincount(self.at[both & chunk.trained], minlength=len(order)).astype(np.uint32)
+        self.at[at[order]] = np.cumsum(new) - 1
+        self.trained = np.bincount(self.at[both & chunk.trained], minlength=len(self.key)).astype(np.uint32)
 
     def learn(self, answer: np.ndarray, counts_of_counts: np.ndarray) -> None:
         """`count` in the corpus, the share `kept` of it, `probability` after the context, `own`: is this chunk the first with it; `seen`, by token."""
@@ -416,7 +417,7 @@ def score_documents(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOK
             if m > 2:
                 lower = numbers.word_probability(c.words()) if m == 3 else levels[m - 4].probability
                 hashes, _, mass, lost, needed = c.contexts(levels[m - 3], lower)
-                yield from c.ask(f"contexts{m - 1}", hashes, mass, lost, needed.astype(np.uint8))
+                yield from c.ask(f"contexts{m - 1}", hashes, _trimmed(mass), _trimmed(lost), needed.astype(np.uint8))
 
         return ask
 
@@ -455,12 +456,9 @@ def score_documents(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOK
 
 def _needed(c: Chunk, kind: str, hashes: np.ndarray, needed: np.ndarray) -> np.ndarray:
     """Answers came only for the needed contexts of what was asked."""
-    order, begin = _by_bucket(hashes, c.buckets)
-    out = np.zeros(len(hashes))
-    for k in np.flatnonzero(np.diff(begin)):
-        own = order[begin[k] : begin[k + 1]]
-        out[own[needed[own]]] = _unpack(c.answers[kind][int(k)], np.float64)
-    return out[needed]
+    begin = _cuts(hashes, c.buckets)
+    parts = [_unpack(c.answers[kind][int(k)], np.float64) for k in np.flatnonzero(np.diff(begin))]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def backoff(mass: np.ndarray, lost: np.ndarray, count: np.ndarray) -> np.ndarray:
