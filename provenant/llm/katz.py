@@ -33,24 +33,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fold, shared_dir, table, whole_groups, written
+from .common import byte_slices, discard, fold, shared_dir, table, whole_groups, written
 
 #: Counts up to which Good-Turing discounts hold.
 K = 5
 #: Share that larger counts lose, so that every context has mass for the rest.
 LEAST = 1e-6
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
 #: Words of an n-gram in the query.
 ORDER = 3
 #: Hashes that meet in a bucket's task, about, at most: 150 MB.
 BUCKET_HASHES = 2_000_000
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of text whose words are looked up together.
+_PART_BYTES = 1 << 20
 _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -139,12 +141,12 @@ def _chunks(docs: DataFrame, held: Column, buckets: int, chunk_tokens: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
-        known: dict[bytes, int] = {}
+        known: dict[str, int] = {}
         ids, flags, lengths, parts = [], [], [], []
 
         def out() -> pa.RecordBatch:
             nonlocal number
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in known), np.uint64, len(known))
             hashes = np.append(hashes, _END)
             order = np.argsort(hashes)
             rank = np.empty(len(order), np.uint32)
@@ -164,18 +166,23 @@ def _chunks(docs: DataFrame, held: Column, buckets: int, chunk_tokens: int) -> D
             return batch
 
         size = 0
-        for batch in batches:
-            for doc_id, text, flag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = (text or "").encode().translate(_LOWER).split()
-                local = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-                parts.append(np.append(local, -1))
-                ids.append(doc_id)
-                flags.append(flag)
-                lengths.append(len(words) + 1)
-                size += len(words) + 1
-                if size >= chunk_tokens:
-                    yield out()
-                    size = 0
+        for part in (p for batch in batches for p in byte_slices(batch, 1, _PART_BYTES)):
+            words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column(1).cast(pa.large_string()), "")))
+            coded = words.flatten().dictionary_encode()
+            numbers = np.array([known.setdefault(w, len(known)) if w else -1 for w in coded.dictionary.to_pylist()] or [0], np.int32)
+            local = numbers[coded.indices.to_numpy()]
+            there = local >= 0  # around white space at the edges there are empty words
+            count = np.diff(np.concatenate([[0], np.cumsum(there)])[words.offsets.to_numpy()])
+            tokens = np.full(int(count.sum()) + len(count), -1, np.int32)  # behind each text's words its end
+            tokens[np.arange(int(count.sum())) + np.repeat(np.arange(len(count)), count)] = local[there]
+            parts.append(tokens)
+            ids += part.column(0).to_pylist()
+            flags += part.column(2).to_pylist()
+            lengths += (count + 1).tolist()
+            size += len(tokens)
+            if size >= chunk_tokens:
+                yield out()
+                size = 0
         if ids:
             yield out()
 
@@ -197,7 +204,7 @@ class Chunk:
         self.lengths = np.array(row["lengths"], np.int64)
         self.held = np.array(row["held"], np.bool_)
         self.vocab = _unpack_sorted(row["vocab"])
-        self.tokens = _unpack(row["tokens"], np.uint32).astype(np.int64)
+        self.tokens = _unpack(row["tokens"], np.uint32).view(np.int32)
         self.trained = np.repeat(~self.held, self.lengths)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.answers: dict[str, dict[int, bytes]] = {}
@@ -273,7 +280,7 @@ class Level:
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
         some = at[order[new]]
         self.key, self.context, self.suffix = ordered[new], previous[some], below[some]
-        self.at = np.full(len(chunk.tokens), -1)
+        self.at = np.full(len(chunk.tokens), -1, np.int32)
         self.at[at[order]] = np.cumsum(new) - 1
         self.trained = np.bincount(self.at[both & chunk.trained], minlength=len(self.key)).astype(np.uint32)
 
