@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from provenant.llm import katz
 from provenant.llm.common import fold
 
@@ -104,9 +106,21 @@ def test_brute_model_is_normalised():
 
 def test_nothing_to_learn_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    from pyspark.sql import functions as F
-
     got = katz.score_documents(docs, F.lit(True)).collect()[0]
     assert (got.n_tokens, got.n_known, got.train_tokens, got.score) == (3, 0, 0, 0.0)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert katz.score_documents(empty, F.lit(True)).count() == 0
+
+
+def test_long_texts_are_read_in_parts(spark):
+    r = random.Random(2)
+    words = ["É", "eÉ", "A", "Bc", "\x1cx", "ÀB\x85", "日本", "z" * 50]
+    rows = [(k, r.choice(["", " ", "\n"]).join(["", *(f"{w} " for w in r.choices(words, k=40_000)), ""])) for k in range(4)] + [(9, None), (10, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {g.doc_id: g for g in katz.score_documents(docs, F.col("doc_id") == 1, 30_000).collect()}
+    learnt = Counter(w for d, t in rows if d != 1 for w in tokens(t))
+    n = sum(learnt.values())
+    for d, t in rows:
+        own = tokens(t)
+        base = sum(math.log10((learnt[w] + 0.5) / (n + 0.5 * (len(learnt) + 1))) for w in own)
+        assert (got[d].n_tokens, got[d].train_tokens) == (len(own), n) and abs(got[d].base_score - base) < 1e-4
