@@ -51,9 +51,8 @@ CHUNK_TOKENS = 1_500_000
 ORDER = 3
 #: Hashes that meet in a bucket's task, about, at most: 150 MB.
 BUCKET_HASHES = 2_000_000
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bytes of text whose words are looked up together.
-_PART_BYTES = 1 << 20
+_PART_BYTES = 2 << 20
 _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -142,12 +141,12 @@ def _chunks(docs: DataFrame, held: Column, buckets: int, chunk_tokens: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
-        known: dict[bytes, int] = {}
+        known: dict[str, int] = {}
         ids, flags, lengths, parts = [], [], [], []
 
         def out() -> pa.RecordBatch:
             nonlocal number
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in known), np.uint64, len(known))
             hashes = np.append(hashes, _END)
             order = np.argsort(hashes)
             rank = np.empty(len(order), np.uint32)
@@ -168,10 +167,10 @@ def _chunks(docs: DataFrame, held: Column, buckets: int, chunk_tokens: int) -> D
 
         size = 0
         for part in (p for batch in batches for p in byte_slices(batch, 1, _PART_BYTES)):
-            words = pc.ascii_split_whitespace(pc.fill_null(part.column(1).cast(pa.large_string()), ""))
+            texts = pa.concat_arrays([part.column(1).cast(pa.large_string()), pa.array([""], pa.large_string())])  # a copy: ascii_lower misreads slices
+            words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))).slice(0, part.num_rows)
             coded = words.flatten().dictionary_encode()
-            distinct = (w.encode().translate(_LOWER) for w in coded.dictionary.to_pylist())
-            numbers = np.array([known.setdefault(w, len(known)) if w else -1 for w in distinct] or [0], np.int32)
+            numbers = np.array([known.setdefault(w, len(known)) if w else -1 for w in coded.dictionary.to_pylist()] or [0], np.int32)
             local = numbers[coded.indices.to_numpy()]
             there = local >= 0  # around white space at the edges there are empty words
             count = np.diff(np.concatenate([[0], np.cumsum(there)])[words.offsets.to_numpy()])

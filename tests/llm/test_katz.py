@@ -115,7 +115,7 @@ def test_nothing_to_learn_and_empty_table(spark):
 def test_long_texts_are_read_in_parts(spark):
     r = random.Random(2)
     words = ["É", "eÉ", "A", "Bc", "\x1cx", "ÀB\x85", "日本", "z" * 50]
-    rows = [(k, r.choice(["", " ", "\n"]).join(["", *(f"{w} " for w in r.choices(words, k=40_000)), ""])) for k in range(4)] + [(9, None), (10, " ")]
+    rows = [(k, r.choice(["", " ", "\n"]).join(["", *(f"{w} " for w in r.choices(words, k=110_000)), ""])) for k in range(4)] + [(9, None), (10, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {g.doc_id: g for g in katz.score_documents(docs, F.col("doc_id") == 1, 30_000).collect()}
     learnt = Counter(w for d, t in rows if d != 1 for w in tokens(t))
