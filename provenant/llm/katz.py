@@ -257,9 +257,8 @@ class Chunk:
         mass = np.bincount(level.context[own], lower[level.suffix[own]], n)
         lost = np.bincount(level.context[own], ((1 - level.kept) * level.count)[own], n)
         needed = np.zeros(n, bool)
-        needed[level.context_of[level.valid & ~level.seen]] = True
-        place = np.flatnonzero(needed | (mass > 0))
-        place = place[np.argsort(level.hashes[place])]
+        needed[level.needed()] = True
+        place = level.by_hash(np.flatnonzero(needed | (mass > 0)))
         return level.hashes[place], place, mass[place], lost[place], needed[place]
 
 
@@ -285,6 +284,19 @@ class Level:
         self.at[at[order]] = np.cumsum(new) - 1
         self.trained = np.bincount(self.at[both & chunk.trained], minlength=len(self.key)).astype(np.uint32)
 
+    def by_hash(self, place: np.ndarray) -> np.ndarray:
+        """Ascending places of contexts in the order of their hashes; only the text's beginning, the last of words, is out of order."""
+        if not len(place) or self.hashes[place[-1]] != _START:
+            return place
+        at = int(np.searchsorted(self.hashes[place[:-1]], _START))
+        return np.concatenate([place[:at], place[-1:], place[at:-1]])
+
+    def needed(self) -> np.ndarray:
+        """The contexts, ascending, whose weights some token needs."""
+        flags = np.zeros(len(self.hashes), bool)
+        flags[self.context_of[self.valid & ~self.seen]] = True
+        return np.flatnonzero(flags)
+
     def learn(self, answer: np.ndarray, counts_of_counts: np.ndarray) -> None:
         """`count` in the corpus, the share `kept` of it, `probability` after the context, `own`: is this chunk the first with it; `seen`, by token."""
         self.count, self.own = (answer >> 1).astype(np.int64), (answer & 1).astype(bool)
@@ -334,15 +346,21 @@ _ANSWER_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.i
 
 
 def _grouped(rows: list[tuple], *kinds) -> tuple:
-    """All rows' hashes with totals: (sizes, unique hashes, inverse, concatenated columns)."""
+    """All rows' hashes with totals: (sizes, unique hashes, inverse, first places, concatenated columns)."""
     hashes = [_unpack_sorted(r[3]) for r in rows]
-    unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    whole = np.concatenate(hashes)
+    order = np.argsort(whole)
+    ordered = whole[order]
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(whole)])
+    inverse = np.empty(len(whole), np.int64)
+    inverse[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(whole))))
+    first = np.minimum.reduceat(order, begin) if len(begin) else order
     columns = [np.concatenate([_unpack(r[4 + k], kind) for r in rows]) for k, kind in enumerate(kinds)]
-    return [len(h) for h in hashes], unique, inverse.ravel(), *columns
+    return [len(h) for h in hashes], ordered[begin], inverse, first, *columns
 
 
 def _add_words(kind: str, bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-    sizes, unique, inverse, n = _grouped(rows, np.uint32)
+    sizes, unique, inverse, _, n = _grouped(rows, np.uint32)
     total = np.bincount(inverse, n, len(unique)).astype(np.uint32)
     there = total > 0
     counts = [int(total.sum()), int(there.sum()), *_counts_of_counts(total[there])]
@@ -352,18 +370,17 @@ def _add_words(kind: str, bucket: int, rows: list[tuple]) -> Iterator[tuple]:
 
 
 def _add_grams(kind: str, bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-    sizes, unique, inverse, n = _grouped(rows, np.uint32)
+    sizes, unique, inverse, first, n = _grouped(rows, np.uint32)
     total = np.bincount(inverse, n, len(unique)).astype(np.uint32)
-    first = np.full(len(unique), len(inverse))
-    np.minimum.at(first, inverse, np.arange(len(inverse)))
-    own = (first[inverse] == np.arange(len(inverse))) & (total[inverse] > 0)
+    own = np.zeros(len(inverse), np.bool_)
+    own[first[total > 0]] = True
     yield (f"{kind}-counts", bucket, -1, None, [int(total.sum()), int((total > 0).sum()), *_counts_of_counts(total[total > 0])])
     for r, part in zip(rows, np.split((total[inverse] << np.uint32(1)) | own.astype(np.uint32), np.cumsum(sizes)[:-1]), strict=True):
         yield (kind, bucket, r[1], _pack(part), None)
 
 
 def _add_contexts(kind: str, bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-    sizes, unique, inverse, mass, lost, needed = _grouped(rows, np.float64, np.float64, np.uint8)
+    sizes, unique, inverse, _, mass, lost, needed = _grouped(rows, np.float64, np.float64, np.uint8)
     seen, gone = np.bincount(inverse, mass, len(unique)), np.bincount(inverse, lost, len(unique))
     ends = np.cumsum(sizes)
     for r, a, b in zip(rows, ends - sizes, ends, strict=True):
@@ -405,7 +422,7 @@ def score_documents(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOK
 
     def asked(f, label: str) -> DataFrame:
         """The answers to what `f` asks for each chunk, given the answers before."""
-        known = _with_answers(chunks, *answers) if answers else chunks
+        known = _with_answers(chunks, *(a.where("kind not like 'contexts%'") for a in answers)) if answers else chunks
         out = written(_reduced(_of_chunks(known, buckets, f, _ASK), buckets), label, ["kind"])
         answers.append(out)
         return out
@@ -437,16 +454,15 @@ def score_documents(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOK
     def evaluate(c: Chunk):
         count = c.words()
         probability = numbers.word_probability(count)
-        value, lower = np.log10(probability)[c.tokens], probability
+        value = np.log10(probability)[c.tokens]
         for m, level in enumerate(c.levels(numbers, order), 2):
-            hashes, place, _, _, needed = c.contexts(level, lower)
-            weight = np.ones(len(level.hashes))
-            mass, lost = (_needed(c, f"contexts{m}-{k}", hashes, needed) for k in ("mass", "lost"))
-            weight[place[needed]] = backoff(mass, lost, level.context_count[place[needed]])
+            place = level.by_hash(level.needed())
+            mass, lost = (c.answer(f"contexts{m}-{k}", level.hashes[place], np.float64) for k in ("mass", "lost"))
+            weight = np.zeros(len(level.hashes))
+            weight[place] = np.log10(backoff(mass, lost, level.context_count[place]))
             new = level.valid & ~level.seen
-            value[new] += np.log10(weight)[level.context_of[new]]
+            value[new] += weight[level.context_of[new]]
             value[level.seen] = np.log10(level.probability[level.at[level.seen]])
-            lower = level.probability
         base = np.log10((count + 0.5) / (numbers.tokens + 0.5 * (numbers.types + 1)))[c.tokens]
         sums = [np.add.reduceat(x, c.first) for x in ((count > 0)[c.tokens].astype(np.int64), base, value)]
         for k, doc_id in enumerate(c.ids):
@@ -462,13 +478,6 @@ def score_documents(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOK
     return scores
 
 
-def _needed(c: Chunk, kind: str, hashes: np.ndarray, needed: np.ndarray) -> np.ndarray:
-    """Answers came only for the needed contexts of what was asked."""
-    begin = _cuts(hashes, c.buckets)
-    parts = [_unpack(c.answers[kind][int(k)], np.float64) for k in np.flatnonzero(np.diff(begin))]
-    return np.concatenate(parts) if parts else np.zeros(0)
-
-
 def backoff(mass: np.ndarray, lost: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The weight of words not seen after contexts of `count`, whose pairs lost `lost` and whose words have lower-order `mass`."""
     left = np.where(lost > 0, lost / np.maximum(1, count), 1.0)
