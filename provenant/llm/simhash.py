@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -374,11 +375,13 @@ WIDE_RADIUS = 27
 #: Bits of a set's parities; two sets differ in at least as many members as their parities in bits.
 PARITIES = 256
 _PARITY = [f"p{k}" for k in range(PARITIES // 64)]
-#: Texts of one bucket above which it is split, and its member put last in the order of members.
+#: Texts of one bucket above which it is split.
 CROWD = 4_096
+#: Texts that share a member above which it is put last in the order of members.
+OFTEN = 32
 #: Texts looked at together for members that many of them share, and how many must.
 _LOOK, _MANY = 4_096, 8
-#: Members put last at most, the most frequent ones: 4 MB for each executor.
+#: Members put last at most, the most frequent ones: 8 MB for each executor.
 LATE = 500_000
 #: Times that members are put last, at most; more would only save time.
 _ROUNDS = 3
@@ -462,9 +465,14 @@ def described(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{columns}, often array<struct<h: long, n: long>>")
 
 
-def _hottest(counts: DataFrame, most: int) -> np.ndarray:
-    """The most frequent members of (h, n), `most` of them at most."""
-    return counts.orderBy(F.desc("n"), "h").limit(max(0, most)).select("h").toPandas()["h"].to_numpy(np.int64)
+def _hottest(counts: DataFrame, late: pd.Series | None = None) -> pd.Series:
+    """The most frequent members of the written (h, n) and of `late`, LATE of them at most: their n by h, rarest first."""
+    if counts.limit(LATE + 1).count() > LATE:
+        counts = counts.orderBy(F.desc("n"), "h").limit(LATE)
+    found = counts.toPandas().set_index("h")["n"].astype(np.int64)
+    if late is not None:
+        found = pd.concat([late, found]).groupby(level=0).max()
+    return found.sort_index().sort_values(kind="stable").tail(LATE)
 
 
 def prefix_length(n: int) -> int:
@@ -473,22 +481,26 @@ def prefix_length(n: int) -> int:
 
 
 def prefixes(texts: DataFrame, late: np.ndarray) -> DataFrame:
-    """(node, top, members) of (node, text): the first members in the order of hashes, those in `late` behind all others.
+    """(node, top, members) of (node, text): the first members in the order of hashes, those in `late` behind all others, in its order.
 
     `top` is the last one's place in that order.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(late)
+    order = np.argsort(late)
+    sent = texts.sparkSession.sparkContext.broadcast((late[order], order))
 
     def make():
-        late = sent.value
+        late, place = sent.value
 
         def first(members: np.ndarray) -> tuple[int, np.ndarray]:
-            k, early = prefix_length(len(members)), len(members)
+            k = prefix_length(len(members))
             if len(late):
-                hot = late[np.minimum(np.searchsorted(late, members), len(late) - 1)] == members
-                early -= int(hot.sum())
-                members = np.concatenate([members[~hot], members[hot]])
-            return int(members[k - 1]) - ((1 << 63) if k <= early else 0), members[:k]
+                at = np.minimum(np.searchsorted(late, members), len(late) - 1)
+                hot = late[at] == members
+                members, at = members[~hot], at[hot]
+                if k > len(members):
+                    last = at[np.argsort(place[at])[: k - len(members)]]
+                    return int(place[last[-1]]), np.concatenate([members, late[last]])
+            return int(members[k - 1]) - (1 << 63), members[:k]
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             top, own = zip(*(first(shingle_set(t or "")) for t in batch.column(1).to_pylist()), strict=True)
@@ -513,27 +525,27 @@ def shared_members(members: DataFrame) -> DataFrame:
     return members.repartition("h").sortWithinPartitions("h").mapInArrow(several, "h long, node long")
 
 
-def shared_prefixes(texts: DataFrame, late: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
+def shared_prefixes(texts: DataFrame, often: pd.Series) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(node, top, members), (h, node) of shared members, and (h, n) of those that over CROWD texts share.
 
-    Any one order of members loses no pair.  Members that very many texts share are put last,
-    so they count for those texts only that consist of such members by four parts in five:
-    `late` has those known to be frequent, sorted, others are added as they show.
+    Any one order of members loses no pair.  Members that many texts share are put last, the most
+    frequent behind the others, so they count for those texts only that consist of such members by
+    four parts in five: `often` has those known to be frequent, others are added as they show.
     """
-    before = None
+    late, before = often, None
     for k in range(_ROUNDS + 1):
-        lists = written(prefixes(texts, late), "similar-prefixes")
+        lists = written(prefixes(texts, late.index.to_numpy(np.int64)), "similar-prefixes")
         shared = written(shared_members(lists.select(F.explode("members").alias("h"), "node")), "similar-shared")
-        crowds = written(shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "similar-crowds")
-        rows = crowds.agg(F.sum("n")).first()[0] or 0
-        if k == _ROUNDS or not rows or before is not None and 2 * rows > before:
+        many = written(shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN), "similar-many")
+        pairs = many.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0
+        if k == _ROUNDS or not pairs or before is not None and 2 * pairs > before:
             break
-        hot = _hottest(crowds, LATE - len(late))
-        if not len(np.setdiff1d(hot, late)):
+        hot = _hottest(many, late)
+        if hot.index.isin(late.index).all():
             break
-        late, before = np.union1d(late, hot), rows
-        discard(lists, shared, crowds)
-    return lists, shared, crowds
+        late, before = hot, pairs
+        discard(lists, shared, many)
+    return lists, shared, written(many.where(F.col("n") > CROWD), "similar-crowds")
 
 
 class _Facts:
@@ -700,8 +712,8 @@ def similar_rows(rows: DataFrame) -> DataFrame:
     nodes = written(facts.groupBy("k0", "k1").agg(F.min("row").alias("node"), *first), "similar-nodes")
     gone = written(facts.select(F.col("row").alias("node")).join(nodes.select("node"), "node", "left_anti"), "similar-gone")
     texts = texts.join(sent_if_small(gone), "node", "left_anti")
-    often = facts.select(F.inline("often")).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > CROWD // 2)
-    lists, shared, crowds = shared_prefixes(texts, np.sort(_hottest(often, LATE)))
+    often = written(facts.select(F.inline("often")).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > OFTEN), "similar-often")
+    lists, shared, crowds = shared_prefixes(texts, _hottest(often))
     known = written(nodes.join(lists.select("node", "top"), "node").select("node", "lo", "hi", "n", "top", *_PARITY), "similar-known")
     held = written(join_narrow(shared, known, "node"), "similar-held")
     discard(lists, shared)

@@ -225,3 +225,44 @@ def test_similar_links_are_exact_at_the_edge(spark, crowd, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {g.doc_id: g.component_id for g in simhash.similar_duplicates(docs).collect()}
     assert classes(got) == classes({d: find(d) for d, _ in rows})
+
+
+@pytest.mark.parametrize("often", [32, 2])
+def test_members_of_many_texts_come_last(spark, often, monkeypatch):
+    """Buckets of what many texts share hold only texts that consist of it, and no link is lost."""
+    monkeypatch.setattr(simhash, "OFTEN", often, raising=False)
+    r = random.Random(23)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(4, 8)))
+    passage = [word() for _ in range(40)]
+    rows = []
+    for k in range(120):
+        base = [word() for _ in range(120)] + passage
+        text = base[:]
+        for at in r.sample(range(len(base)), r.randint(1, 5)):
+            text[at] = word()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(text))]
+    rows += [(1000 + k, " ".join(passage[k % 7 :] + [word() for _ in range(k % 3)])) for k in range(30)]  # of the passage alone
+    texts, sizes, plain = dict(rows), [], simhash.open_pairs
+
+    def seen(held, crowds):
+        sizes.append(held.groupBy("h").count().agg({"count": "max"}).first()[0])
+        return plain(held, crowds)
+
+    monkeypatch.setattr(simhash, "open_pairs", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {g.doc_id: g.component_id for g in simhash.similar_duplicates(docs).collect()}
+    assert sizes[0] <= 40  # 240 texts hold the passage
+    sets = {d: simhash.shingle_set(t) for d, t in texts.items()}
+    root = {d: d for d in sets}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a in sets:
+        for b in sets:
+            if a < b and simhash.similar(sets[a], sets[b]):
+                root[find(b)] = find(a)
+    assert 40 < len({find(d) for d in sets}) < len(sets) - 40
+    assert classes(got) == classes({d: find(d) for d in sets})
