@@ -113,3 +113,22 @@ def test_repeated_rows_and_kept_columns(spark):
 
 def test_empty_table(spark):
     assert suffixes.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_crowded_anchors_make_few_rows(spark, monkeypatch):
+    """A passage in many surroundings: its windows meet in blocks, and only those at its borders one by one."""
+    r = random.Random(31)
+    text = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    passage, counts, plain = text(700), {}, suffixes.written
+
+    def seen(df, label, *rest):
+        out = plain(df, label, *rest)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(suffixes, "written", seen)
+    texts = [text(r.randint(300, 500)) + passage + text(r.randint(300, 500)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: [(s.start, s.end) for s in x.spans] for x in suffixes.repeated_spans(docs, crowded=5).collect()}
+    assert got == dict(enumerate(brute(texts, suffixes.DEPTH)))
+    assert 0 < counts["crowds"] and counts["crowd-windows"] < 40 * 100
